@@ -229,7 +229,7 @@ def select_views(prefix: str, source: str) -> None:
               (SELECT task_id, any_value(multi) AS multi, any_value(ents) AS ents, list({{'source': source, 'prov': prov}} ORDER BY rk) AS r FROM {prefix}rk GROUP BY task_id)))
             JOIN (SELECT task_id, list(source ORDER BY m) AS allsrc FROM (SELECT task_id, source, min(rk) AS m FROM {prefix}rk GROUP BY ALL) GROUP BY task_id) USING (task_id)""",
         f"{prefix}sel": f"""SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY CASE WHEN res THEN 0 ELSE 1 END, CASE WHEN res THEN place ELSE 0 END, rk) AS pos FROM
-          (SELECT *, len(targets) >= 2 AND coalesce(place, 0) > 0 AND within <= greatest(1, least(2, 6 // len(targets))) AS res FROM
+          (SELECT *, len(targets) >= 2 AND coalesce(place, 0) > 0 AND within <= greatest(1, least(2, 6 // greatest(len(targets), 1))) AS res FROM
             (SELECT *, list_position(targets, source) AS place, row_number() OVER (PARTITION BY task_id, source ORDER BY rk) AS within
              FROM {prefix}rk JOIN {prefix}tgt USING (task_id))) QUALIFY pos <= 6""",
     })

@@ -177,7 +177,7 @@ def select_evidence(pool: DataFrame, tasks: DataFrame, max_items: int = C.MAX_EV
                        .otherwise(T.strings([])).alias("_targets"))
     rows = ranked.join(plan, "task_id")
     n = F.size("_targets")
-    per_source = F.greatest(F.lit(1), F.least(F.lit(2), F.floor(F.lit(max_items) / n)))
+    per_source = F.greatest(F.lit(1), F.least(F.lit(2), F.floor(F.lit(max_items) / F.greatest(n, F.lit(1)))))
     within = F.row_number().over(Window.partitionBy("task_id", "source_id").orderBy("pos"))
     place = F.array_position("_targets", F.col("source_id"))
     rows = rows.withColumn("_within", within).withColumn(
