@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("retrieval", "evidence", "grounding")
+_MODULES = ("retrieval", "evidence", "grounding", "ingest")
 
 
 def _collect(name: str) -> dict:

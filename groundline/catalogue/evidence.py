@@ -317,9 +317,9 @@ ORACLE = {
       FROM (SELECT doc_id, st, {B.d_lines('st')} AS ls FROM (SELECT doc_id, {B.d_strip('text')} AS st FROM documents))""",
     "evidence_select": B.oracle("SELECT task_id, pos, evidence_id, source AS source_id, round(select_score, 6) AS select_score FROM msel", "msel"),
     "research_full": B.oracle("""SELECT task_id, pos, evidence_id, source_type, symbol AS section, used AS query_used, round(score, 6) AS score, sha256(content) AS sha FROM fsel""", "fsel"),
-    "retrieval_repair_merge": B.oracle("""SELECT task_id, row_number() OVER (PARTITION BY task_id ORDER BY CASE WHEN n > 6 THEN turn ELSE pos END, CASE WHEN n > 6 THEN -rd ELSE 0 END) AS pos,
-          evidence_id, rd::BIGINT AS retrieval_round FROM
-          (SELECT *, count(*) OVER (PARTITION BY task_id) AS n, row_number() OVER (PARTITION BY task_id, rd ORDER BY pos) AS turn FROM xent) QUALIFY pos <= 6
+    "retrieval_repair_merge": B.oracle("""SELECT task_id, place AS pos, evidence_id, retrieval_round FROM (SELECT task_id, evidence_id, rd::BIGINT AS retrieval_round,
+          row_number() OVER (PARTITION BY task_id ORDER BY CASE WHEN n > 6 THEN turn ELSE pos END, CASE WHEN n > 6 THEN -rd ELSE 0 END) AS place FROM
+          (SELECT *, count(*) OVER (PARTITION BY task_id) AS n, row_number() OVER (PARTITION BY task_id, rd ORDER BY pos) AS turn FROM xent)) WHERE place <= 6
         UNION ALL SELECT task_id, pos, evidence_id, 1::BIGINT FROM r1sel JOIN tasks USING (task_id) WHERE NOT tasks.cmp""", "xent", "r1sel", "tasks"),
 }
 _ent = {k: B.VIEWS[k] for k in ("ment0", "ment")}
