@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("retrieval", "evidence", "grounding", "ingest")
+_MODULES = ("retrieval", "evidence", "grounding", "ingest", "tables", "events")
 
 
 def _collect(name: str) -> dict:
