@@ -12,7 +12,8 @@ from groundline import config as C
 from groundline.functions import text as T
 from groundline.functions.rules import source_type
 
-PER_TASK = Window.partitionBy("task_id")
+def per_task():
+    return Window.partitionBy("task_id")
 
 
 def evidence_id(source: Column, chunk_id: Column, content: Column) -> Column:
@@ -48,7 +49,7 @@ def to_evidence(hits: DataFrame, retrieval_round: int = 1) -> DataFrame:
 
 def renumber(pool: DataFrame, *order) -> DataFrame:
     """Positions 1.. per task in the given order."""
-    return pool.withColumn("pos", F.row_number().over(PER_TASK.orderBy(*order)).cast("long"))
+    return pool.withColumn("pos", F.row_number().over(per_task().orderBy(*order)).cast("long"))
 
 
 def unique_items(pool: DataFrame, *order) -> DataFrame:
@@ -73,7 +74,7 @@ def prefer_expected_sources(pool: DataFrame, tasks: DataFrame, max_items: int =
     """Expected source types alone when there are enough of them, else in front."""
     named = pool.join(tasks.select("task_id", F.col("expected_source_types").alias("_exp")), "task_id")
     wanted = F.array_contains("_exp", F.col("source_type"))
-    n = F.count_if(F.col("_pref")).over(PER_TASK)
+    n = F.count_if(F.col("_pref")).over(per_task())
     flagged = named.withColumn("_pref", wanted).withColumn("_n", n)
     kept = flagged.filter((F.col("_n") < min(4, max_items)) | F.col("_pref"))
     front = F.when(F.col("_n") == 0, F.lit(0)).when(F.col("_pref"), F.lit(0)).otherwise(F.lit(1))
@@ -98,8 +99,8 @@ def prefer_entity_sources(pool: DataFrame, tasks: DataFrame) -> DataFrame:
     named = pool.join(tasks.select("task_id", wanted.alias("_ents"), F.col("requires_comparison").alias("_cmp")), "task_id")
     hits = F.filter("_ents", lambda e: (e != "") & F.contains(F.col("_prov"), e))
     matched = named.withColumn("_prov", provenance()).withColumn("_hits", hits)
-    covered = F.size(F.array_except("_ents", F.flatten(F.collect_set("_hits").over(PER_TASK)))) == 0
-    some = F.count_if(F.size("_hits") > 0).over(PER_TASK) > 0
+    covered = F.size(F.array_except("_ents", F.flatten(F.collect_set("_hits").over(per_task())))) == 0
+    some = F.count_if(F.size("_hits") > 0).over(per_task()) > 0
     narrow = some & (~F.col("_cmp") | covered)
     kept = matched.withColumn("_narrow", narrow).filter(~F.col("_narrow") | (F.size("_hits") > 0))
     return renumber(kept, "pos").drop("_ents", "_cmp", "_prov", "_hits", "_narrow")
@@ -190,7 +191,7 @@ def select_evidence(pool: DataFrame, tasks: DataFrame, max_items: int = C.MAX_EV
 def interleave_repair(pool: DataFrame, max_items: int = C.MAX_EVIDENCE) -> DataFrame:
     """A pool above ``max_items`` alternates second-round and earlier items, second round first."""
     second = F.col("retrieval_round") == 2
-    rows = pool.withColumns({"_n": F.count("*").over(PER_TASK), "_old": (~second).cast("int")})
+    rows = pool.withColumns({"_n": F.count("*").over(per_task()), "_old": (~second).cast("int")})
     turn = F.row_number().over(Window.partitionBy("task_id", "_old").orderBy("pos"))
     rows = rows.withColumn("_turn", turn)
     order = [F.when(F.col("_n") > max_items, F.col("_turn")).otherwise(F.col("pos")),
