@@ -50,7 +50,7 @@ def read_sse_log(spark: SparkSession, path: str) -> DataFrame:
 
 def write_sse(feed: DataFrame, path: str) -> None:
     """Event text files, one folder per run, in sequence order."""
-    body = F.regexp_replace("sse", r"\n$", "")
+    body = F.regexp_replace("sse", r"\n\z", "")
     feed.repartition("run_id").sortWithinPartitions("run_id", "sequence").select("run_id", body.alias("value")).write.partitionBy("run_id").text(path)
 
 

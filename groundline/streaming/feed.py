@@ -58,7 +58,9 @@ class TraceFold(StatefulProcessor):
         for task in sorted(touched):
             agent, status, started, completed, n = self.tasks.getValue((task,))
             out.append((key[0], task, agent, status, started, completed, n))
-        yield pd.DataFrame(out, columns=["run_id", "task_id", "agent", "status", "started_at", "completed_at", "n_artifacts"])
+        if out:
+            yield pd.DataFrame(
+                out, columns=["run_id", "task_id", "agent", "status", "started_at", "completed_at", "n_artifacts"])
 
     def _apply(self, e, touched: set[str]) -> None:
         known = self.tasks.getValue((e.task_id,)) if self.tasks.containsKey((e.task_id,)) else None
@@ -99,7 +101,8 @@ class TerminalWatch(StatefulProcessor):
         if n == 0:
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
         verdict = ["ok"] if before == 0 and n == 1 else ["repeated"] if n > 1 and n > before else []
-        yield pd.DataFrame({"run_id": [key[0]] * len(verdict), "verdict": verdict})
+        if verdict:
+            yield pd.DataFrame({"run_id": [key[0]], "verdict": verdict})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"run_id": [key[0]], "verdict": ["missing"]})
