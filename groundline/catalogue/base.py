@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from groundline.functions import text as T
 from groundline.operators.chunking import window_chunks
 from groundline.plans.retrieval import SearchTables, with_search_text
+from groundline.session import spread
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(df) if name == "documents" else df
 
 
 # ---- Spark views -----------------------------------------------------------------

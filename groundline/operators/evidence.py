@@ -131,7 +131,7 @@ def with_scores(pool: DataFrame, tasks: DataFrame) -> DataFrame:
         "task_id",
         T.selector_tokens(F.concat_ws(" ", "query", F.array_join("research_questions", " "))).alias("_qt"),
         T.contains_any(F.lower("query"), C.RESULT_TERMS).alias("_results"),
-        F.transform("entities", T.alnum).alias("_ents"),
+        F.transform("entities", T.alnum).alias("_ents"), F.col("requires_multiple_sources").alias("_multi"),
     )
     tokens = F.array_distinct(T.selector_tokens("content"))
     rows = pool.join(asked, "task_id").withColumns({"_ct": tokens, "_prov": selector_provenance()} | {
@@ -171,12 +171,9 @@ def target_sources(ranked: Column, entities: Column) -> Column:
 def select_evidence(pool: DataFrame, tasks: DataFrame, max_items: int = C.MAX_EVIDENCE) -> DataFrame:
     """Final pool: reserved items of the target sources first, then the best others."""
     ranked = renumber(with_scores(pool, tasks), F.round("select_score", 9).desc(), "pos")
-    listed = ranked.groupBy("task_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "source_id", F.col("_prov").alias("prov")))).alias("_r"))
-    plan = listed.join(tasks.select("task_id", "requires_multiple_sources", F.transform("entities", T.alnum).alias("_e")), "task_id")
-    plan = plan.select("task_id", F.when(F.col("requires_multiple_sources"), target_sources(F.col("_r"), F.col("_e")))
-                       .otherwise(T.strings([])).alias("_targets"))
-    rows = ranked.join(plan, "task_id")
+    whole = per_task().orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    listed = ranked.withColumn("_r", F.collect_list(F.struct("source_id", F.col("_prov").alias("prov"))).over(whole))
+    rows = listed.withColumn("_targets", F.when(F.col("_multi"), target_sources(F.col("_r"), F.col("_ents"))).otherwise(T.strings([])))
     n = F.size("_targets")
     per_source = F.greatest(F.lit(1), F.least(F.lit(2), F.floor(F.lit(max_items) / F.greatest(n, F.lit(1)))))
     within = F.row_number().over(Window.partitionBy("task_id", "source_id").orderBy("pos"))

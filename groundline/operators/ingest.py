@@ -55,8 +55,8 @@ def ingest_pages(blocks: DataFrame, existing: DataFrame, revisions: DataFrame) -
     raw = page_chunks(pages).withColumns({
         "source": F.concat(F.lit("research:"), "doc"), "file_path": F.concat("doc", F.lit(".pdf")),
         "symbol": T.coalesce_text(T.first_line_section("content"), F.concat(F.lit("Page "), F.col("page").cast("string")))})
-    unique = deduplicate(raw.select("doc", "source", "file_path", "symbol", "page", "section_no", "part", "content"),
-                         ["page", "section_no", "part"])
+    columns = raw.select("doc", "source", "file_path", "symbol", "page", "section_no", "part", "content")
+    unique = materialize(deduplicate(columns, ["page", "section_no", "part"]), "unique")
     numbered = position(unique, ["source"], F.floor(F.col("page") / 1024), ["page", "section_no", "part"], "source_index")
     described = numbered.join(revisions, "doc").withColumn("metadata", chunk_metadata(
         F.col("source"), F.col("revision"), F.col("file_path"), F.col("symbol"), F.col("content"), source_type=F.lit("paper"),

@@ -18,10 +18,14 @@ from groundline.session import BROADCAST_LIMIT, broadcast_if_small
 WEIGHT_BYTES = 96
 
 
+def with_terms(chunks: DataFrame, text: str = "search_text") -> DataFrame:
+    """Chunks with their token list ``terms`` and its length ``dl``, row by row without a shuffle."""
+    return chunks.withColumn("terms", T.tokens(text)).withColumn("dl", F.size("terms").cast("long"))
+
+
 def term_index(chunks: DataFrame, text: str = "search_text") -> DataFrame:
-    """(chunk_id, dl, terms): the tokens of each chunk, built row by row without a shuffle."""
-    listed = chunks.select("chunk_id", T.tokens(text).alias("terms"))
-    return listed.select("chunk_id", F.size("terms").cast("long").alias("dl"), "terms")
+    """(chunk_id, dl, terms)."""
+    return with_terms(chunks.select("chunk_id", text), text).select("chunk_id", "dl", "terms")
 
 
 def postings(index: DataFrame) -> DataFrame:

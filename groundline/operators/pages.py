@@ -8,6 +8,7 @@ from groundline.functions import text as T
 from groundline.functions.rules import corrupted_block, page_number_line
 from groundline.operators.chunking import section_chunks
 from groundline.operators.ordering import split_lookup
+from groundline.session import materialize
 
 
 def page_text(blocks: DataFrame) -> DataFrame:
@@ -39,7 +40,8 @@ def repeated_edges(pages: DataFrame) -> DataFrame:
 
 def clean_pages(pages: DataFrame) -> DataFrame:
     """Pages without running heads and page-number lines."""
-    rows = split_lookup(pages, repeated_edges(pages), ["doc"], "n_pages")
+    stored = materialize(pages, "pages")
+    rows = split_lookup(stored, materialize(repeated_edges(stored), "edges"), ["doc"], "n_pages")
     drop = F.coalesce("repeated", T.strings([]))
     kept = F.filter(T.lines("text"), lambda x: ~F.array_contains(drop, x) & ~page_number_line(x))
     joined = F.regexp_replace(F.array_join(kept, "\n"), r"[ \t]+", " ")

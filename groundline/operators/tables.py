@@ -13,6 +13,7 @@ from groundline.functions import text as T
 from groundline.functions.rules import upload_error
 from groundline.operators.ingest import changed_sources
 from groundline.operators.ordering import first_per_key, split_lookup
+from groundline.session import materialize
 
 
 # ---- chunk table --------------------------------------------------------------------------
@@ -75,7 +76,8 @@ def upload_batch(uploads: DataFrame, registry: DataFrame, hot_rows: int = 100_00
     ``registry``: document_id, sha (unique). The first valid upload of a content
     registers it; a content uploaded very often is joined by broadcast.
     """
-    checked = uploads.withColumn("error", upload_error(F.col("filename"), F.col("mime"), F.col("size"), F.col("head")))
+    error = upload_error(F.col("filename"), F.col("mime"), F.col("size"), F.col("head"))
+    checked = materialize(uploads.select("upload_id", "sha", "created_at", "chunk_count", error.alias("error")), "uploads")
     bad = checked.filter("error IS NOT NULL").withColumns({
         "status": F.lit("rejected"), "document_id": F.lit(None).cast("string"), "chunks": F.lit(0).cast("long")})
     good = checked.filter("error IS NULL")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from groundline import config as C
 from groundline.functions import text as T
 from groundline.operators.hybrid import expand, fuse, rerank, rerank_features
-from groundline.operators.lexical import bm25_topk, term_index
+from groundline.operators.lexical import bm25_topk, with_terms
 from groundline.operators.vectors import vector_topk
 from groundline.session import broadcast_if_small, materialize
 
@@ -24,9 +24,9 @@ class SearchTables:
 
     @classmethod
     def build(cls, chunks: DataFrame, vectors: DataFrame) -> "SearchTables":
-        """Write the chunk and term tables once; every later step reads files."""
-        stored = materialize(chunks, "chunks")
-        return cls(stored, materialize(term_index(stored), "terms"), vectors)
+        """Write chunks and their token lists once; every later step reads its columns from files."""
+        stored = materialize(with_terms(chunks), "chunks")
+        return cls(stored.drop("dl", "terms"), stored.select("chunk_id", "dl", "terms"), vectors)
 
 
 def with_search_text(chunks: DataFrame) -> DataFrame:

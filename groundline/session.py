@@ -64,3 +64,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """Broadcast hint only when ``rows * row_bytes`` is under the limit."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_LIMIT else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small scan dealt out to all cores before CPU-heavy work.
+
+    A small file is often a single row group, hence a single task. The estimated
+    size is checked: a table that gives every core a full split stays as it is.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * 64 * 1024 * 1024 else df
