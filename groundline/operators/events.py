@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from groundline import config as C
 from groundline.functions import text as T
-from groundline.operators.ordering import position
+from groundline.operators.ordering import join_per_key, position
 
 TERMINAL = ["run.completed", "run.failed"]
 
@@ -123,7 +123,8 @@ def task_traces(feed: DataFrame) -> DataFrame:
     created = F.col("first.event") == "artifact.created"
     opened = per.withColumn("open_seq", F.coalesce("start.sequence", F.when(created, F.col("first.sequence")), F.lit(0)))
     failures = feed.filter("event = 'run.failed'").select("run_id", F.col("sequence").alias("f_seq"), F.col("ts").alias("f_ts"))
-    failed = opened.select("run_id", "task_id", "open_seq").join(failures, "run_id").filter("f_seq > open_seq").groupBy("run_id", "task_id").agg(
+    starts = opened.select("run_id", "task_id", "open_seq")
+    failed = join_per_key(failures, starts, ["run_id"], "inner", "f_seq").filter("f_seq > open_seq").groupBy("run_id", "task_id").agg(
         F.min(F.struct("f_seq", "f_ts")).alias("fail"))
     rows = opened.join(failed, ["run_id", "task_id"], "left")
     finished = F.coalesce(F.col("done.sequence") > F.col("open_seq"), F.lit(False))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from groundline.functions import text as T
 from groundline.functions.rules import null
-from groundline.operators.ordering import first_per_key, position
+from groundline.operators.ordering import first_per_key, join_per_key, position
 from groundline.operators.pages import clean_pages, page_chunks, page_text
 from groundline.session import materialize
 
@@ -58,7 +58,7 @@ def ingest_pages(blocks: DataFrame, existing: DataFrame, revisions: DataFrame) -
     columns = raw.select("doc", "source", "file_path", "symbol", "page", "section_no", "part", "content")
     unique = materialize(deduplicate(columns, ["page", "section_no", "part"]), "unique")
     numbered = position(unique, ["source"], F.floor(F.col("page") / 1024), ["page", "section_no", "part"], "source_index")
-    described = numbered.join(revisions, "doc").withColumn("metadata", chunk_metadata(
+    described = join_per_key(numbered, revisions, ["doc"], "inner", "page").withColumn("metadata", chunk_metadata(
         F.col("source"), F.col("revision"), F.col("file_path"), F.col("symbol"), F.col("content"), source_type=F.lit("paper"),
         content_type=F.lit("paper"), language=F.lit("text"), title=F.col("doc")))
     chunks = materialize(described, "ingested")

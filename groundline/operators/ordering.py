@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from groundline import session
+
 
 def running_offset(df: DataFrame, group: list[str], bucket: Column, order: list[str],
                    weight: Column, out: str) -> DataFrame:
@@ -48,6 +50,32 @@ def split_lookup(rows: DataFrame, values: DataFrame, key: list[str], count: str,
     return done.unionByName(rest)
 
 
+def lookup(rows: DataFrame, values: DataFrame, key: list[str], hot_rows: int = 100_000) -> DataFrame:
+    """Left join to a large one-row-per-key table; keys many ``rows`` share are broadcast.
+
+    Counting the keys combines before its shuffle; keys without a value are kept
+    in the counted side, so a hot key without one does not shuffle either.
+    """
+    counts = rows.groupBy(*key).agg(F.count("*").alias("_n"))
+    return split_lookup(rows, counts.join(values, key, "left"), key, "_n", hot_rows)
+
+
+def join_per_key(rows: DataFrame, values: DataFrame, key: list[str], how: str, spread_by: str,
+                 row_bytes: int = 200, salts: int = 32) -> DataFrame:
+    """Join ``rows`` to a small table per source, document or run (``how`` as in ``join``).
+
+    The small side is written once and counted: under the limit it is broadcast.
+    Beyond it both sides get a salt, the small side one copy per salt, so the rows
+    of one hot key spread over ``salts`` tasks.
+    """
+    stored = session.materialize(values, "keys")
+    if stored.count() * row_bytes <= session.BROADCAST_LIMIT:
+        return rows.join(F.broadcast(stored), key, how)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
+    copies = stored.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, [*key, "_salt"], how).drop("_salt")
+
+
 def first_per_key(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """First row per key in ``order`` plus ``n_rows``, by partial aggregation.
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from groundline.functions import text as T
 from groundline.functions.rules import corrupted_block, page_number_line
 from groundline.operators.chunking import section_chunks
-from groundline.operators.ordering import split_lookup
+from groundline.operators.ordering import join_per_key, split_lookup
 from groundline.session import materialize
 
 
@@ -28,13 +28,14 @@ def repeated_edges(pages: DataFrame) -> DataFrame:
     """
     lines = F.col("_l")
     edges = F.array_distinct(F.concat(F.slice(lines, 1, 2), F.slice(lines, F.greatest(F.lit(1), F.size(lines) - 1), 2)))
-    counts = pages.groupBy("doc").agg(F.count("*").alias("n_pages"))
+    counts = materialize(pages.groupBy("doc").agg(F.count("*").alias("n_pages")), "page-counts")
     seen = (
         pages.select("doc", T.lines("text").alias("_l")).filter(F.size("_l") > 0)
         .select("doc", F.explode(edges).alias("line")).groupBy("doc", "line").agg(F.count("*").alias("n"))
     )
     need = F.greatest(F.lit(2), F.floor((F.col("n_pages") + 1) / 2))
-    repeated = seen.filter((F.col("n") >= 2) & (F.length("line") <= 160)).join(counts, "doc").filter(F.col("n") >= need)
+    repeated = seen.filter((F.col("n") >= 2) & (F.length("line") <= 160))
+    repeated = join_per_key(repeated, counts, ["doc"], "inner", "line").filter(F.col("n") >= need)
     return counts.join(repeated.groupBy("doc").agg(F.collect_list("line").alias("repeated")), "doc", "left")
 
 

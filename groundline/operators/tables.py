@@ -12,7 +12,7 @@ from groundline import config as C
 from groundline.functions import text as T
 from groundline.functions.rules import upload_error
 from groundline.operators.ingest import changed_sources
-from groundline.operators.ordering import first_per_key, split_lookup
+from groundline.operators.ordering import first_per_key, join_per_key, lookup, split_lookup
 from groundline.session import materialize
 
 
@@ -20,28 +20,27 @@ from groundline.session import materialize
 
 def replace_sources(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """All rows of the incoming sources replaced; other sources untouched."""
-    return existing.join(incoming.select("source").distinct(), "source", "left_anti").unionByName(incoming)
+    names = incoming.select("source").distinct()
+    return join_per_key(existing, names, ["source"], "left_anti", "source_index").unionByName(incoming)
 
 
 def ensure_sources(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Replace only sources whose contents changed; where just metadata did, patch it in place."""
-    plan = changed_sources(existing, incoming).select("source", "action")
-    other = [c for c in existing.columns if c not in ("source", "source_index")]
-    new = incoming.join(plan, "source")
-    replaced = new.filter("action = 'replace'").select("source", "source_index", *other, "action")
-    kept = existing.join(plan.filter("action <> 'replace'"), "source")
+    plan = materialize(changed_sources(existing, incoming).select("source", "action"), "plan")
+    cols = ["source", "source_index", *[c for c in existing.columns if c not in ("source", "source_index")], "action"]
+    new = join_per_key(incoming, plan, ["source"], "inner", "source_index")
+    old = join_per_key(existing, plan, ["source"], "left", "source_index").withColumn("action", F.coalesce("action", F.lit("untouched")))
     meta = new.filter("action = 'patch'").select("source", "source_index", F.col("revision").alias("_rev"))
-    patched = kept.join(meta, ["source", "source_index"], "left").withColumn("revision", F.coalesce("_rev", "revision")).drop("_rev")
-    rest = existing.join(plan.select("source"), "source", "left_anti").withColumn("action", F.lit("untouched"))
-    cols = ["source", "source_index", *other, "action"]
-    return replaced.unionByName(patched.select(*cols)).unionByName(rest.select(*cols))
+    patched = old.filter("action <> 'replace'").join(meta, ["source", "source_index"], "left").withColumn(
+        "revision", F.coalesce("_rev", "revision"))
+    return new.filter("action = 'replace'").select(*cols).unionByName(patched.select(*cols))
 
 
-def delete_sources(table: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+def delete_sources(table: DataFrame, sources: DataFrame, spread_by: str = "source_index") -> tuple[DataFrame, DataFrame]:
     """(remaining rows, removed row count per deleted source)."""
-    names = sources.select("source").distinct()
-    removed = table.join(names, "source", "left_semi").groupBy("source").agg(F.count("*").alias("removed"))
-    return table.join(names, "source", "left_anti"), names.join(removed, "source", "left").select(
+    names = materialize(sources.select("source").distinct(), "deleted")
+    removed = join_per_key(table, names, ["source"], "left_semi", spread_by).groupBy("source").agg(F.count("*").alias("removed"))
+    return join_per_key(table, names, ["source"], "left_anti", spread_by), names.join(removed, "source", "left").select(
         "source", F.coalesce("removed", F.lit(0)).alias("removed"))
 
 
@@ -50,7 +49,7 @@ def with_registered_metadata(chunks: DataFrame, registered: DataFrame) -> DataFr
     names = registered.groupBy("source", F.sha2("content", 256).alias("_sha")).agg(F.max_by("metadata", "source_index").alias("_m"))
     parsed = F.from_json("metadata_json", "map<string,string>", {"mode": "PERMISSIVE"})
     stored = F.when(F.startswith(T.strip("metadata_json"), F.lit("{")), parsed)
-    return chunks.withColumn("_sha", F.sha2("content", 256)).join(names, ["source", "_sha"], "left").withColumn(
+    return lookup(chunks.withColumn("_sha", F.sha2("content", 256)), names, ["source", "_sha"]).withColumn(
         "metadata", F.coalesce("_m", stored, F.create_map().cast("map<string,string>"))).drop("_m", "_sha")
 
 
@@ -116,10 +115,11 @@ def delete_documents(registry: DataFrame, chunks: DataFrame, vectors: DataFrame,
     """Next versions of the three tables and the removed chunk count per document."""
     gone = registry.join(wanted.select("document_id"), "document_id", "left_semi").select("document_id", F.col("source_id").alias("source"))
     rest, removed = delete_sources(chunks, gone)
+    left, _ = delete_sources(vectors, gone)
     return {
         "registry": registry.join(gone.select("document_id"), "document_id", "left_anti"),
         "chunks": rest,
-        "vectors": vectors.join(gone.select("source").distinct(), "source", "left_anti"),
+        "vectors": left,
         "removed": gone.join(removed, "source").select("document_id", "source", F.col("removed").alias("removed_chunks")),
     }
 
@@ -165,7 +165,7 @@ def with_translation(chunks: DataFrame, translations: DataFrame) -> DataFrame:
     names = translations.groupBy("source", F.sha2("content_en", 256).alias("_sha")).agg(last).select(
         "source", "_sha", F.col("_r.content_zh").alias("_zh"), F.col("_r.translation_status").alias("_st"), F.lit(True).alias("_has"))
     research = F.startswith("source", F.lit("research:"))
-    joined = chunks.withColumn("_sha", F.sha2("content", 256)).join(names, ["source", "_sha"], "left")
+    joined = lookup(chunks.withColumn("_sha", F.sha2("content", 256)), names, ["source", "_sha"])
     has = F.coalesce("_has", F.lit(False)) & research
     return joined.withColumns({
         "content_zh": F.when(has, F.col("_zh")),

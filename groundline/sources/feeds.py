@@ -49,9 +49,12 @@ def read_sse_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_sse(feed: DataFrame, path: str) -> None:
-    """Event text files, one folder per run, in sequence order."""
+    """Event text files, one folder per run; files in name order are in sequence order.
+
+    Ranges of (run, sequence) split a long run over several files.
+    """
     body = F.regexp_replace("sse", r"\n\z", "")
-    feed.repartition("run_id").sortWithinPartitions("run_id", "sequence").select("run_id", body.alias("value")).write.partitionBy("run_id").text(path)
+    feed.repartitionByRange("run_id", "sequence").sortWithinPartitions("run_id", "sequence").select("run_id", body.alias("value")).write.partitionBy("run_id").text(path)
 
 
 # ---- caches and checkpoints --------------------------------------------------------------------

@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from groundline import session
 from groundline.operators import lexical, ordering, topk
 from groundline.operators.vectors import vector_topk
 
@@ -15,6 +16,24 @@ def test_split_lookup_hot_and_cold(spark):
     assert got.count() == 1000 and got.select("id", "v").exceptAll(want.select("id", "v")).count() == 0
 
 
+def test_lookup_with_hot_missing_key(spark):
+    rows = spark.range(900).select("id", F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 3 == 1, F.lit("gone")).otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("key"))
+    values = rows.filter("key <> 'gone'").groupBy("key").agg(F.max("id").alias("v"))
+    got = ordering.lookup(rows, values, ["key"], hot_rows=100)
+    assert got.select("id", "key", "v").exceptAll(rows.join(values, "key", "left").select("id", "key", "v")).count() == 0 and got.count() == 900
+
+
+def test_join_per_key_salted(spark, monkeypatch):
+    rows = spark.range(600).select("id", F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 40)).alias("source"))
+    names = spark.createDataFrame([("hot",), ("k1",), ("none",)], "source string")
+    small = {h: ordering.join_per_key(rows, names, ["source"], h, "id") for h in ("inner", "left_semi", "left_anti")}
+    monkeypatch.setattr(session, "BROADCAST_LIMIT", 0)
+    for how, want in small.items():
+        got = ordering.join_per_key(rows, names, ["source"], how, "id")
+        assert "_salt" in got._jdf.queryExecution().optimizedPlan().toString()
+        assert got.count() == want.count() and got.exceptAll(want).count() == 0
+
+
 def test_positions_in_one_hot_group(spark):
     rows = spark.range(5000).select(F.lit("s").alias("source"), (F.col("id") * 7 % 5000).alias("doc"))
     got = ordering.position(rows, ["source"], F.floor(F.col("doc") / 100), ["doc"], "pos")
