@@ -18,6 +18,17 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spread(df) if name == "documents" else df
 
 
+_STORED: dict[tuple, object] = {}
+
+
+def stored(spark: SparkSession, d: str, name: str, build):
+    """``build()`` once per session and table folder: what queries share is written once, like a kept index."""
+    key = (spark.sparkContext.applicationId, spark._jsparkSession.hashCode(), d, name)
+    if key not in _STORED:
+        _STORED[key] = build()
+    return _STORED[key]
+
+
 # ---- Spark views -----------------------------------------------------------------
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -51,7 +62,10 @@ def queries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def search_tables(spark: SparkSession, d: str) -> SearchTables:
-    return SearchTables.build(with_search_text(chunks(spark, d)), chunk_vectors(spark, d).select("chunk_id", "embedding"))
+    def build() -> SearchTables:
+        return SearchTables.build(with_search_text(chunks(spark, d)), chunk_vectors(spark, d).select("chunk_id", "embedding"))
+
+    return stored(spark, d, "search", build)
 
 
 # ---- the same views in SQL ---------------------------------------------------------
