@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from groundline.session import BROADCAST_LIMIT
+from groundline.session import BROADCAST_LIMIT, ship_package
 
 
 class LocalTopK:
@@ -57,6 +57,7 @@ class LocalTopK:
 
 def passes(rows: DataFrame, count: int, row_bytes: int) -> list[pa.Table]:
     """The rows as Arrow tables of bounded size, all rows of a query in one table."""
+    ship_package(rows.sparkSession)
     n = max(1, -(-count * row_bytes // BROADCAST_LIMIT))
     if n == 1:
         return [rows.toArrow()]
