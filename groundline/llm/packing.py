@@ -9,27 +9,24 @@ mix related documents, and only the last sequence is padded.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from groundline.llm.base import Scratch, flat, mix, ragged, slices
+from groundline.llm.base import Scratch, flat, mix, slices
 from groundline.llm.secrets import vocabulary
 
 SEQUENCE = 2048
 END_ID = 1
 DIMENSIONS, BITS = 4, 10
-#: White space in the tokenizer's pattern; a cut is unsafe at a space inside a longer run of these.
-INNER_SPACE = r"[\t-\r \x{85}\x{a0}\pZ] ([\t-\r \x{85}\x{a0}\pZ]|\z)"
-
-#: Characters before this one are read alike by both tokenizer libraries.
-LATIN_END = "\u0250"
+#: Characters beyond these are not read alike by both tokenizer libraries for certain.
+OTHER_SCRIPT = re.compile("[^\x00-\u024f]")
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
           "curve_key long")
@@ -46,80 +43,25 @@ def tokenizer(path: str | None):
     return found
 
 
-def encode_parts(parts: list[str], path: str | None, ranks_path: str | None) -> list[list[int]]:
-    """Ids of each part. Latin text goes through the rank file of the same vocabulary, which
-    gives the same ids several times faster; any other script through the tokenizer itself."""
-    quick = vocabulary(ranks_path).encode_ordinary
-    plain = [p.isascii() or max(p) < LATIN_END for p in parts]
-    rest = iter(tokenizer(path).encode_batch([p for p, ok in zip(parts, plain, strict=True) if not ok], add_special_tokens=False))
-    return [quick(p) if ok else next(rest).ids for p, ok in zip(parts, plain, strict=True)]
-
-
-class PartIds:
-    """Ids of text parts seen by one task: each distinct part is encoded once while it is kept.
+def token_ids(texts: list[str], path: str | None = None, ranks_path: str | None = None,
+              end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts in order, each text closed by ``end_id``, and the number per text.
 
-    Starts anew beyond ``most`` parts, so memory is bounded on any text.
+    Latin text goes through the rank file of the same vocabulary, which gives
+    the same ids several times faster; any other script through the tokenizer itself.
     """
-
-    def __init__(self, path: str | None = None, ranks_path: str | None = None, end_id: int = END_ID, most: int = 400_000):
-        self.path, self.ranks_path, self.end_id, self.most = path, ranks_path, end_id, most
-        self.clear()
-
-    def clear(self) -> None:
-        self.code: dict[str, int] = {}
-        self.ids, self.used = np.array([self.end_id], np.uint32), 1
-        self.starts, self.sizes = np.zeros(1, np.int64), np.ones(1, np.int64)  # part 0 is the end id
-
-    def codes(self, parts: list[str]) -> np.ndarray:
-        """Numbers of the given parts; unseen ones are encoded."""
-        if len(self.code) > self.most:
-            self.clear()
-        get = self.code.get
-        found = [get(p, -1) for p in parts]
-        new = list({p for p, c in zip(parts, found, strict=True) if c < 0})
-        if new:
-            ids = encode_parts(new, self.path, self.ranks_path)
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            more = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
-            if self.used + len(more) > len(self.ids):
-                self.ids = np.concatenate([self.ids[:self.used], np.zeros(self.used + 2 * len(more), np.uint32)])
-            self.ids[self.used:self.used + len(more)] = more
-            self.code.update(zip(new, range(len(self.starts), len(self.starts) + len(new)), strict=True))
-            self.starts = np.concatenate([self.starts, self.used + np.cumsum(sizes) - sizes])
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.used += len(more)
-            found = [get(p) for p in parts]
-        return np.array(found, np.int64)
-
-
-def token_ids(texts: pa.Array, cache: PartIds) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts in order, each text closed by the end id, and the number per text.
-
-    The pattern never joins a space to what stands before it, so texts are cut
-    in front of single spaces and each distinct part is encoded once. A text
-    with a space inside a longer run of white space is encoded whole.
-    """
-    texts = pc.fill_null(flat(texts), "")
-    n = len(texts)
-    if not n:
-        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-    whole = pc.match_substring_regex(texts, INNER_SPACE).to_numpy(zero_copy_only=False)
-    parts = flat(pc.split_pattern(pc.if_else(pa.array(whole), "", texts), " "))
-    counts = np.diff(parts.offsets.to_numpy()).astype(np.int64)
-    pieces = parts.flatten()
-    ends = np.cumsum(counts)
-    first = np.zeros(len(pieces), bool)
-    first[ends - counts] = True
-    inner = pc.dictionary_encode(pieces.filter(pa.array(~first)))
-    heads = [a if b else c for a, b, c in zip(texts.to_pylist(), whole, pieces.filter(pa.array(first)).to_pylist(), strict=True)]
-    known = cache.codes([*heads, *(" " + p for p in inner.dictionary.to_pylist())])
-    code = np.empty(len(pieces), np.int64)
-    code[first] = known[:n]
-    code[~first] = known[n:][inner.indices.to_numpy(zero_copy_only=False)]
-    code = np.insert(code, ends, 0)
-    length = cache.sizes[code]
-    per_text = np.add.reduceat(length, ends - counts + np.arange(n))
-    return cache.ids[ragged(cache.starts[code], length)], per_text
+    quick, end = vocabulary(ranks_path), np.array([end_id], np.uint32)
+    parts = []
+    for text in texts:
+        if text and OTHER_SCRIPT.search(text):
+            parts.append(np.array(tokenizer(path).encode(text, add_special_tokens=False).ids, np.uint32))
+        elif text:
+            parts.append(quick.encode_to_numpy(text, disallowed_special=()))
+        else:
+            parts.append(end[:0])
+        parts.append(end)
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts)).reshape(-1, 2).sum(1)
+    return (np.concatenate(parts) if parts else end[:0]), sizes
 
 
 def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -179,10 +121,9 @@ def pack(docs: DataFrame, sequence: int = SEQUENCE, path: str | None = None, ran
     scratch = Scratch(spark, "packing")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = PartIds(path, ranks_path)
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
-                ids, sizes = token_ids(part.column("text"), cache)
+            for part in slices(batch, "text"):
+                ids, sizes = token_ids(pc.fill_null(flat(part.column("text")), "").to_pylist(), path, ranks_path)
                 keys = hilbert_key(curve_points(ids, sizes))
                 blob, ends = ids.astype("<u4"), np.cumsum(sizes)
                 narrow = blob.astype("<u2") if len(ids) and ids.max() < 1 << 16 else blob
@@ -216,7 +157,7 @@ def pack(docs: DataFrame, sequence: int = SEQUENCE, path: str | None = None, ran
     starts = ordered.join(F.broadcast(offsets), "range").select("row", (F.col("range_start") + F.col("before")).alias("at"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "ids")):
             rows = []
             for doc, key, n, at, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "curve_key", "n", "at", "ids")), strict=True):
                 values = np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4").astype("<u4")
