@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groundline.llm import decontam, near, packing, quality, secrets
+from groundline.llm import decontam, language, near, packing, quality, secrets, substrings
 from groundline.llm.base import documents
 
 
+def op1_deleted_interpolation(spark: SparkSession, folder: str) -> DataFrame:
+    return language.score_documents(documents(spark, folder))
+
+
 def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score_documents(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
 
 
+def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.remove_repeats(documents(spark, folder))
+
+
 def op5_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near.near_duplicates(documents(spark, folder), shingle_words=4)
 
@@ -28,5 +36,7 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.find_leaks(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_classifier, op5_minhash_dedup, op6_packing, op8_secret_scan, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (
+    op1_deleted_interpolation, op2_quality_classifier, op4_suffix_dedup, op5_minhash_dedup, op6_packing, op8_secret_scan,
+    op10_decontamination)}
 ORACLE: dict[str, str] = {}
