@@ -218,7 +218,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     members = clusters.join(sizes, "component").select(
         F.col("id").alias("doc_id"), F.col("component").alias("cluster"), F.col("count").alias("size"))
     sets = scratch.write(
-        source.join(members.select("doc_id", "cluster"), "doc_id").select("cluster", "doc_id", "text")
+        source.join(members.select("doc_id", "cluster").hint("merge"), "doc_id").select("cluster", "doc_id", "text")
         .mapInArrow(_sets(shingle_words), "cluster long, doc_id long, shingle_set binary".replace("doc_id", "doc")), "sets")
     sized = sets.join(sizes.select(F.col("component").alias("cluster"), F.col("count").alias("size")), "cluster")
     compare, schema = _compare(percent), "a long, b long"

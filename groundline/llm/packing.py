@@ -171,4 +171,5 @@ def pack(docs: DataFrame, sequence: int = SEQUENCE, path: str | None = None, ran
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)],
                                                  names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "curve_key"])
 
-    return tokens.join(starts, "row").select("doc_id", "curve_key", "n", "at", "ids").mapInArrow(cut, PIECES)
+    # both sides have a row for each document, so they always meet by a shuffle
+    return tokens.join(starts.hint("merge"), "row").select("doc_id", "curve_key", "n", "at", "ids").mapInArrow(cut, PIECES)
