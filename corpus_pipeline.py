@@ -23,7 +23,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "near-stage")
     found = scratch.write(near.near_duplicates(docs), "groups")
     gone = found.where("not kept").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    # the ids grow with the documents: never a broadcast, whatever their number
+    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
     repeated = scratch.write(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     if repeated.isEmpty():
         return kept
