@@ -46,7 +46,9 @@ def request(block: int, keys: np.ndarray, extras: list[np.ndarray], buckets: int
 
 
 def answer_all(requests: DataFrame, answer: Callable[[pa.Table], pa.Table]) -> DataFrame:
-    return requests.groupBy("bucket").applyInArrow(answer, ANSWERED)
+    """``answer`` once for each bucket; buckets are dealt over all shuffle partitions, which are not merged again."""
+    tasks = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return requests.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(answer, ANSWERED)
 
 
 def in_order(answers: pa.Table, kind: np.dtype) -> np.ndarray:

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from groundline.llm.base import Scratch, flat, mix, slices, text_bytes
-from groundline.llm.blocks import ANSWERED, ASKED, BLOCK_BYTES, BUCKET_BYTES, blocked, in_order, request, unpacked, with_answers
+from groundline.llm.blocks import ASKED, BLOCK_BYTES, BUCKET_BYTES, answer_all, blocked, in_order, request, unpacked, with_answers
 
 LENGTH, GRAM = 200, 100
 #: Classes of one q-gram bucket that a block sends; with more, it knows the bucket to be shared.
@@ -319,11 +319,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text
         raise ValueError("gram must be between 1 and length - 1")
     scratch = Scratch(docs.sparkSession, "substrings")
     size = text_bytes(docs)
-    blocks, buckets = max(1, math.ceil(size / BLOCK_BYTES)), max(1, math.ceil(size / BUCKET_BYTES / 4))
+    # three rounds keep a block's anchors: half of the usual block
+    blocks, buckets = max(1, math.ceil(2 * size / BLOCK_BYTES)), max(1, math.ceil(size / BUCKET_BYTES))
     source = blocked(docs, blocks)
-    settled = scratch.write(source.groupBy("block").applyInArrow(_ask_classes(length, gram, buckets), ASKED)
-                            .groupBy("bucket").applyInArrow(_answer_classes, ANSWERED), "classes")
-    windows = scratch.write(with_answers(source, settled, _ask_windows(length, gram, buckets), ASKED)
-                            .groupBy("bucket").applyInArrow(_answer_windows, ANSWERED), "windows")
+    asked = source.groupBy("block").applyInArrow(_ask_classes(length, gram, buckets), ASKED)
+    settled = scratch.write(answer_all(asked, _answer_classes), "classes")
+    asked = with_answers(source, settled, _ask_windows(length, gram, buckets), ASKED)
+    windows = scratch.write(answer_all(asked, _answer_windows), "windows")
     both = settled.withColumn("round", F.lit(1)).union(windows.withColumn("round", F.lit(2)))
     return with_answers(source, both, _remove(length, gram, texts), RESULT + (", kept binary" if texts else ""))
