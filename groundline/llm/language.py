@@ -146,15 +146,12 @@ def learn_weights(cells: np.ndarray, distinct: int, rounds: int = 100) -> np.nda
     """Weights (bigram, unigram, uniform) per context bucket by expectation maximisation.
 
     ``cells`` rows: bucket, log2 steps of the bigram and unigram estimate, tokens.
-    A bucket without tokens takes the weights of the next lower one.
+    A bucket without tokens keeps the weights it starts with.
     """
     weights = np.tile([0.4, 0.4, 0.2], (CONTEXT_BUCKETS, 1))
-    weights[0] = [0, 0.7, 0.3]
     for b in range(CONTEXT_BUCKETS):
         own = cells[cells[:, 0] == b]
         if not len(own):
-            if b:
-                weights[b] = weights[b - 1]
             continue
         parts = np.stack([np.where(own[:, c] <= 0, 2.0 ** (own[:, c] / STEPS), 0) for c in (1, 2)] + [np.full(len(own), 1 / (distinct + 1))], 1)
         for _ in range(rounds):
