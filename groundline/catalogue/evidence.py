@@ -58,7 +58,7 @@ def evidence(spark, d):
 
 
 def merged(spark, d):
-    return E.round_robin(evidence(spark, d), 3 * C.MAX_EVIDENCE)
+    return E.round_robin(evidence(spark, d))
 
 
 # ---- queries -----------------------------------------------------------------------------------
@@ -183,7 +183,7 @@ B.VIEWS |= {
         {B.d_alnum("source || source || title || file_path")} AS prov
       FROM thits JOIN chunks_meta USING (chunk_id)""",
     "merged": """SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY rank, query_no) AS pos FROM
-        (SELECT * FROM evid QUALIFY row_number() OVER (PARTITION BY task_id, evidence_id ORDER BY rank, query_no) = 1) QUALIFY pos <= 18""",
+        (SELECT * FROM evid QUALIFY row_number() OVER (PARTITION BY task_id, evidence_id ORDER BY rank, query_no) = 1)""",
 }
 B.NEEDS |= {"thits": ["cvec"], "evid": ["thits", "chunks_meta"], "merged": ["evid"]}
 
@@ -248,8 +248,8 @@ select_views("m", "merged")
 # full retrieval for task queries (no vectors): BM25, fusion, rerank, expansion
 B.VIEWS |= {
     "tq": f"""SELECT task_id || '#' || (i - 1) AS query_id, task_id, (i - 1)::BIGINT AS query_no, qs[i] AS query FROM
-        (SELECT *, unnest(range(1, len(qs) + 1)) AS i FROM (SELECT task_id, list_transform(list_sort(list_transform(list_distinct(q), lambda x: [lpad(list_position(q, x)::VARCHAR, 6, '0'), x])), lambda p: p[2])[1:4] AS qs FROM
-          (SELECT task_id, CASE WHEN task_type = 'FACT_LOOKUP' THEN rq[1:1] ELSE rq END AS q FROM tasks)))""",
+        (SELECT *, unnest(range(1, len(qs) + 1)) AS i FROM (SELECT task_id, list_transform(list_sort(list_transform(list_distinct(q), lambda x: [lpad(list_position(q, x)::VARCHAR, 6, '0'), x])), lambda p: p[2]) AS qs FROM
+          (SELECT task_id, rq AS q FROM tasks)))""",
 }
 B.NEEDS |= {"tq": ["tasks"]}
 for _n in ("qt", "bm", "bmk", "bmn"):
@@ -304,7 +304,7 @@ ORACLE = {
           {_ANY('low', C.MULTI_HOP_TERMS)} AS multi, {_ANY('low', C.DOCUMENTATION_TERMS)} AS docs FROM (SELECT *, lower(original) AS low FROM task_texts)))""", "task_texts"),
     "task_queries": B.oracle(f"""SELECT 'task' AS kind, task_id, query_no, query FROM tq UNION ALL
         SELECT 'given', task_id, (i - 1)::BIGINT, qs[i] FROM (SELECT *, unnest(range(1, len(qs) + 1)) AS i FROM (
-          SELECT task_id, list_transform(list_sort(list_transform(list_distinct(q), lambda x: [lpad(list_position(q, x)::VARCHAR, 6, '0'), x])), lambda p: p[2])[1:4] AS qs
+          SELECT task_id, list_transform(list_sort(list_transform(list_distinct(q), lambda x: [lpad(list_position(q, x)::VARCHAR, 6, '0'), x])), lambda p: p[2]) AS qs
           FROM (SELECT task_id, list_concat([{B.d_strip('query')}], list_reverse(rq), rq) AS q FROM tasks)))""", "tq"),
     "hit_to_evidence": B.oracle("""SELECT task_id, query_no, rank, evidence_id, source AS source_id, source AS source_title, source_type, symbol AS section,
         'query ' || query_no AS query_used, 1::BIGINT AS retrieval_round, chunk_id::VARCHAR AS chunk_id, file_path, round(score, 6) AS score, sha256(content) AS sha FROM evid""", "evid"),

@@ -128,8 +128,8 @@ def embedding_parse(spark, d):
 
 
 def embedding_prep(spark, d):
-    text = vectors.embedding_text(F.col("text"), 300)
-    return B.table(spark, d, "documents").select("doc_id", F.length(text).cast("long").alias("n_chars"), T.sha(text).alias("sha"))
+    pieces = B.table(spark, d, "documents").select("doc_id", F.posexplode(vectors.embedding_pieces(F.col("text"), 300)).alias("piece_no", "piece"))
+    return pieces.select("doc_id", F.col("piece_no").cast("long").alias("piece_no"), F.length("piece").cast("long").alias("n_chars"), T.sha("piece").alias("sha"))
 
 
 def embedding_response(spark, d):
@@ -316,7 +316,8 @@ ORACLE = {
         UNION ALL SELECT 'embedded', count(*), count(*), count(*), 0, 0, true FROM cvec""", "cvec", "chunks"),
     "index_status": B.oracle("SELECT (SELECT count(*) FROM chunks) AS database_chunks, (SELECT count(*) FROM cvec) AS vector_chunks, 16::BIGINT AS candidate_k, 0.65e0 AS vector_weight, 0.35e0 AS bm25_weight", "chunks", "cvec"),
     "embedding_parse": """SELECT vec_id, vec_id % 6 IN (0, 5) AS valid, CASE WHEN vec_id % 6 IN (0, 5) THEN len(embedding) END AS dims, CASE WHEN vec_id % 6 IN (0, 5) THEN round(list_sum(embedding::DOUBLE[]), 4) END AS total FROM embeddings""",
-    "embedding_prep": f"""SELECT doc_id, length(t) AS n_chars, sha256(t) AS sha FROM (SELECT doc_id, substring(coalesce(nullif({B.d_strip('text')}, ''), ' '), 1, 300) AS t FROM documents)""",
+    "embedding_prep": f"""SELECT doc_id, i AS piece_no, length(p) AS n_chars, sha256(p) AS sha FROM (SELECT doc_id, i, substring(t, i * 300 + 1, 300) AS p FROM
+      (SELECT doc_id, t, unnest(range(0, (length(t) - 1) // 300 + 1)) AS i FROM (SELECT doc_id, coalesce(nullif({B.d_strip('text')}, ''), ' ') AS t FROM documents)))""",
     "embedding_response": """SELECT vec_id // 64 AS batch_id, row_number() OVER (PARTITION BY vec_id // 64 ORDER BY vec_id DESC) - 1 AS position,
         count(*) FILTER (WHERE NOT gap) OVER (PARTITION BY vec_id // 64) = 64 AS complete, CASE WHEN NOT gap THEN round(embedding[1]::DOUBLE, 6) END AS first_value FROM (SELECT *, vec_id // 64 % 5 = 4 AND vec_id % 64 = 7 AS gap FROM embeddings)""",
     "embedding_backfill": B.oracle(f"""SELECT chunk_id, source, source_index // 4096 AS range_no, (row_number() OVER (PARTITION BY source, source_index // 4096 ORDER BY source_index) - 1) // 64 AS batch_no,
@@ -351,7 +352,7 @@ ORACLE = {
       SELECT n AS page_id, folder NOT IN ('src', 'docs') OR ext = '.min.js' AS skipped, CASE WHEN ext = '' THEN regexp_extract(host, '\.[a-z]+$') WHEN ext = '.min.js' THEN '.js' ELSE lower(ext) END AS suffix,
         regexp_full_match(sid, '[a-z0-9][a-z0-9_-]*') AS source_ok, regexp_full_match(sid, '[a-z0-9_]+') AS manifest_ok, n % 6 IN (0, 4) AS revision_ok,
         CASE WHEN n % 4 IN (0, 2) AND n % 5 IN (0, 1) THEN 'https://github.com/' || host || '/repo' END AS repository FROM r""",
-    "redact_secrets": f"""SELECT doc_id, i - 1 AS line_no, sha256(regexp_replace(regexp_replace(regexp_replace(substring(coalesce(nullif(CASE (i - 1) % 3 WHEN 0 THEN 'Bearer abc.def failed; ' WHEN 1 THEN 'API_KEY = 123 sk-Ab_9 ' ELSE '' END || ls[i], ''), 'vector backend unavailable'), 1, 240),
+    "redact_secrets": f"""SELECT doc_id, i - 1 AS line_no, sha256(regexp_replace(regexp_replace(regexp_replace(coalesce(nullif(CASE (i - 1) % 3 WHEN 0 THEN 'Bearer abc.def failed; ' WHEN 1 THEN 'API_KEY = 123 sk-Ab_9 ' ELSE '' END || ls[i], ''), 'vector backend unavailable'),
           '(?i)bearer{_WS}+{_ANON}+', 'Bearer [REDACTED]', 'g'), '(?i)(?:api[_-]?key|token|secret){_WS}*[=:]{_WS}*{_ANON}+', '[REDACTED]', 'g'), 'sk-[A-Za-z0-9_-]+', '[REDACTED]', 'g')) AS sha
         FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))""",
     "source_names": B.oracle("""SELECT doc_id, coalesce(filename, CASE WHEN doc_id % 4 = 3 THEN source END, sid) AS name, filename IS NULL AND doc_id % 4 IN (1, 2) AS incomplete

@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import StringType
 
 from groundline.functions import text as T
 
@@ -18,32 +14,13 @@ def _body(raw: Column) -> Column:
     return F.when(F.startswith(t, F.lit("```")), inner).otherwise(t)
 
 
-@F.pandas_udf(StringType())
-def _scan(texts: pd.Series) -> pd.Series:
-    """First decodable object starting at any brace."""
-    decoder = json.JSONDecoder()
-
-    def first(text):
-        at = text.find("{") if text else -1
-        while at >= 0:
-            try:
-                value = decoder.raw_decode(text, at)[0]
-                return json.dumps(value, ensure_ascii=False)
-            except ValueError:
-                at = text.find("{", at + 1)
-        return None
-
-    return texts.map(first)
-
-
 def first_object(raw: Column) -> Column:
     """JSON text of the first object in ``raw``, NULL when there is none.
 
-    Text from the first to the last brace that parses as a whole needs no Python;
-    only other texts that hold a brace go through the batched scan.
+    Every brace may begin it; what follows a complete object does not matter.
     """
-    body = _body(raw)
-    span = F.regexp_extract(body, r"(?s)\{.*\}", 0)
-    whole = F.when(span != "", F.try_parse_json(span)).isNotNull()
-    slow = F.when(~whole & F.contains(body, F.lit("{")), body)
-    return F.when(whole, span).otherwise(_scan(slow))
+    parts = F.split(_body(raw), r"\{")
+    texts = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(
+        F.lit("{"), F.array_join(F.slice(parts, i + 1, F.size(parts)), "{")))
+    found = F.filter(F.transform(texts, lambda t: F.to_json(F.try_parse_json(t))), lambda o: o.isNotNull())
+    return F.when(F.size(parts) > 1, F.get(found, F.lit(0)))

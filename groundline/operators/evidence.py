@@ -58,10 +58,10 @@ def unique_items(pool: DataFrame, *order) -> DataFrame:
     return pool.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def round_robin(evidence: DataFrame, limit: int) -> DataFrame:
-    """Merge the queries of a task rank by rank, first occurrence of an item wins, cut at ``limit``."""
-    first = unique_items(evidence, "rank", "query_no")
-    return renumber(first, "rank", "query_no").filter(F.col("pos") <= limit)
+def round_robin(evidence: DataFrame, limit: int | None = None) -> DataFrame:
+    """Merge the queries of a task rank by rank, first occurrence of an item wins; with a limit cut there."""
+    merged = renumber(unique_items(evidence, "rank", "query_no"), "rank", "query_no")
+    return merged if limit is None else merged.filter(F.col("pos") <= limit)
 
 
 def extend_pool(pool: DataFrame, more: DataFrame) -> DataFrame:

@@ -68,27 +68,31 @@ def is_comparison() -> Column:
     return F.col("requires_comparison") | (F.col("task_type") == "COMPARISON")
 
 
-def _clean(queries: Column) -> Column:
+def _clean(queries: Column, max_queries: int | None) -> Column:
     stripped = F.transform(queries, lambda q: unwrap_question(T.strip(F.coalesce(q, F.lit("")))))
-    return F.slice(F.array_distinct(F.filter(stripped, lambda q: q != "")), 1, C.MAX_QUERIES_PER_TASK)
+    found = F.array_distinct(F.filter(stripped, lambda q: q != ""))
+    return found if max_queries is None else F.slice(found, 1, max_queries)
 
 
-def normalize_queries(queries: Column) -> Column:
-    """At most four distinct non-blank queries in order."""
-    return _clean(queries)
+def normalize_queries(queries: Column, max_queries: int | None = None) -> Column:
+    """Distinct non-blank queries in order, with a limit at most that many."""
+    return _clean(queries, max_queries)
 
 
-def retrieval_queries() -> Column:
-    """Queries of a task row: its questions (a fact lookup only the first), else its query."""
+def retrieval_queries(max_queries: int | None = None) -> Column:
+    """Queries of a task row: its questions, else its query.
+
+    With a limit (``C.MAX_QUERIES_PER_TASK`` for a live system) at most that many, and of a fact lookup only the first.
+    """
     asked = F.when(F.size("research_questions") > 0, F.col("research_questions")).otherwise(F.array("query"))
-    few = F.when(F.col("task_type") == "FACT_LOOKUP", F.slice(asked, 1, 1)).otherwise(asked)
-    found = _clean(few)
+    few = asked if max_queries is None else F.when(F.col("task_type") == "FACT_LOOKUP", F.slice(asked, 1, 1)).otherwise(asked)
+    found = _clean(few, max_queries)
     own = unwrap_question(T.strip("query"))
     return F.when(F.size(found) > 0, found).when(own != "", F.array(own)).otherwise(T.strings([]))
 
 
-def task_queries(tasks: DataFrame, queries: Column | None = None) -> DataFrame:
+def task_queries(tasks: DataFrame, queries: Column | None = None, max_queries: int | None = None) -> DataFrame:
     """(task_id, query_no, query), one row per retrieval query."""
-    listed = retrieval_queries() if queries is None else normalize_queries(queries)
+    listed = retrieval_queries(max_queries) if queries is None else normalize_queries(queries, max_queries)
     return tasks.select("task_id", F.posexplode(listed).alias("query_no", "query")).withColumn(
         "query_no", F.col("query_no").cast("long"))

@@ -22,10 +22,17 @@ def parse_embedding(raw: Column) -> Column:
     return F.when(good, numbers)
 
 
-def embedding_text(text: Column, max_chars: int = C.EMBEDDING_MAX_CHARS) -> Column:
-    """Text sent to an embedding model: stripped, blank becomes one space, cut."""
+def embedding_text(text: Column) -> Column:
+    """Text sent to an embedding model: stripped, blank becomes one space."""
+    return F.coalesce(F.nullif(T.strip(text), F.lit("")), F.lit(" "))
+
+
+def embedding_pieces(text: Column, max_chars: int = C.EMBEDDING_MAX_CHARS) -> Column:
+    """Consecutive pieces of the text of at most ``max_chars``; together they are the whole text."""
     limit = max(C.EMBEDDING_MIN_CHARS, max_chars)
-    return F.substring(F.coalesce(F.nullif(T.strip(text), F.lit("")), F.lit(" ")), 1, limit)
+    whole = embedding_text(text)
+    starts = F.sequence(F.lit(0), F.floor((F.length(whole) - 1) / limit).cast("int"))
+    return F.transform(starts, lambda i: F.substring(whole, i * limit + 1, F.lit(limit)))
 
 
 def distance_score(distance: Column) -> Column:

@@ -26,10 +26,10 @@ def narrow(pool: DataFrame, tasks: DataFrame, max_items: int) -> DataFrame:
 
 
 def research(tables: SearchTables, tasks: DataFrame, asked: DataFrame | None = None, *, retrieval_round: int = 1,
-             top_k: int = C.RESEARCH_TOP_K, max_items: int = C.MAX_EVIDENCE) -> DataFrame:
-    """Evidence pool per task: retrieve, merge, prefer, select."""
+             top_k: int = C.RESEARCH_TOP_K, max_items: int = C.MAX_EVIDENCE, merge_limit: int | None = None) -> DataFrame:
+    """Evidence pool per task: retrieve, merge, prefer, select; only the selection cuts, unless ``merge_limit`` is given."""
     hits = retrieve_for_tasks(tables, task_queries(tasks) if asked is None else asked, top_k)
-    merged = E.round_robin(E.to_evidence(hits, retrieval_round), 3 * max_items)
+    merged = E.round_robin(E.to_evidence(hits, retrieval_round), merge_limit)
     return E.select_evidence(narrow(merged, tasks, max_items), tasks, max_items)
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from groundline.functions import rules
 from groundline.functions import text as T
 from groundline.operators.chunking import section_chunks, windows
-from groundline.operators.code import code_chunks, code_metadata
 
 MANIFEST = (
     "source_id string, title string, source_type string, source_url string, retrieved_at date, original_format string, "
@@ -45,20 +44,6 @@ def _files(spark: SparkSession, root: str) -> DataFrame:
     return found.withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
 
 
-def repository_files(spark: SparkSession, sources: DataFrame, project_root: str) -> DataFrame:
-    """Code chunks of the pinned repository files of manifests, with metadata."""
-    wanted = sources.select("source", F.col("title").alias("_title"), F.inline("repository_files"))
-    at = wanted.withColumn("path", F.concat(F.lit(project_root + "/"), "raw_file"))
-    content = _files(spark, project_root).select("path", F.col("content").cast("string").alias("content"))
-    _require_none(at.select("path").join(content.select("path"), "path", "left_anti"), "missing repository files")
-    rows = at.join(content, "path")
-    keyed = rows.select("source", "_title", "commit", "repository_url", F.col("file_path").alias("name"), F.col("path").alias("file_path"), "content")
-    cut = code_chunks(keyed).filter("parsed").join(keyed.drop("content"), "file_path")
-    named = cut.drop("file_path").withColumnRenamed("name", "file_path")
-    return named.select("source", "file_path", "part", "content",
-                        code_metadata(F.col("commit"), F.col("repository_url"), F.col("_title")).alias("metadata"))
-
-
 def bootstrap(spark: SparkSession, root: str, project_root: str) -> DataFrame:
     """(source, file_path, section_no, part, symbol, content) of every manifest's documents.
 

@@ -2,26 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import os
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from groundline import config as C
 from groundline.functions import rules
 from groundline.functions import text as T
 from groundline.operators.chunking import section_chunks
-from groundline.operators.code import code_chunks
 
 
-def source_tree(spark: SparkSession, root: str) -> DataFrame:
+#: Scheme and host in front of an absolute path.
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/*"
+
+
+def relative_path(path: Column, root: str) -> Column:
+    """Path below ``root``, which is cut once at the front; a root without scheme may be relative."""
+    base = re.sub(SCHEME, "/", root) if re.match(SCHEME, root) else os.path.abspath(root)
+    base = base.rstrip("/") + "/"
+    clean = F.regexp_replace(path, SCHEME, "/")
+    return F.when(F.startswith(clean, F.lit(base)), F.substring(clean, F.lit(len(base) + 1), F.length(clean))).otherwise(clean)
+
+
+def source_tree(spark: SparkSession, root: str, max_bytes: int | None = C.SOURCE_FILE_MAX_BYTES) -> DataFrame:
     """(file_path, suffix, status, content) of every file under ``root``.
 
-    ``status`` is kept, or why the file is skipped. The size rule is applied to
-    the listing, so oversized files are never read.
+    ``status`` is kept, or why the file is skipped. The size rule (None: no
+    limit) is applied to the listing, so oversized files are never read.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.split("://")[-1].rstrip("/") + "/"
-    path = F.substring_index("path", base, -1)
+    path = relative_path(F.col("path"), root)
+    fits = F.lit(True) if max_bytes is None else F.col("length") <= max_bytes
     listing = files.select(path.alias("file_path"), "length")
-    small = files.filter(F.col("length") <= C.SOURCE_FILE_MAX_BYTES).select(path.alias("file_path"), "length", "content")
+    small = files.filter(fits).select(path.alias("file_path"), "length", "content")
     suffix = rules.file_suffix(F.col("file_path"))
     readable = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
     kept = small.withColumns({"suffix": suffix, "text": readable}).withColumn(
@@ -29,21 +43,18 @@ def source_tree(spark: SparkSession, root: str) -> DataFrame:
         .when(~F.col("suffix").isin(*C.DOC_SUFFIXES, ".py"), F.lit("skipped_suffix"))
         .when(F.col("text").isNull(), F.lit("skipped_encoding"))
         .when(T.strip("text") == "", F.lit("skipped_blank")).otherwise(F.lit("kept")))
-    large = listing.filter(F.col("length") > C.SOURCE_FILE_MAX_BYTES).select(
+    large = listing.filter(~fits).select(
         "file_path", suffix.alias("suffix"), F.lit("skipped_size").alias("status"), F.lit(None).cast("string").alias("content"))
     return kept.select("file_path", "suffix", "status", F.when(F.col("status") == "kept", F.col("text")).alias("content")).unionByName(large)
 
 
-def repository_chunks(tree: DataFrame) -> DataFrame:
-    """Chunks of the kept files of a source tree: (file_path, section_no, part, symbol, content, content_type, structural_tokens)."""
-    kept = tree.filter("status = 'kept'")
-    docs = section_chunks(kept.filter("suffix <> '.py'").select("file_path", "content").withColumnRenamed("content", "text"), "text").select(
+def documentation_chunks(tree: DataFrame) -> DataFrame:
+    """Section chunks of the kept documentation files of a source tree: (file_path, section_no, part, symbol, content, content_type)."""
+    kept = tree.filter("status = 'kept'").filter(F.col("suffix").isin(*C.DOC_SUFFIXES))
+    return section_chunks(kept.select("file_path", F.col("content").alias("text")), "text").select(
         "file_path", F.col("section_no").cast("long").alias("section_no"), F.col("part").cast("long").alias("part"),
         F.coalesce(T.coalesce_text(T.first_line_section("content")), F.lit("Document")).alias("symbol"), "content",
-        F.lit("documentation").alias("content_type"), F.lit("").alias("structural_tokens"))
-    code = code_chunks(kept.filter("suffix = '.py'")).filter("parsed").select(
-        "file_path", F.lit(0).cast("long").alias("section_no"), "part", "symbol", "content", F.lit("source_code").alias("content_type"), "structural_tokens")
-    return docs.unionByName(code)
+        F.lit("documentation").alias("content_type"))
 
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:

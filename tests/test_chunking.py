@@ -5,9 +5,9 @@ import re
 
 from pyspark.sql import functions as F
 
+from groundline.functions import rules
 from groundline.functions import text as T
 from groundline.operators.chunking import section_chunks, windows
-from groundline.operators.code import code_chunks, code_metadata
 
 
 def brute_cut(s, limit):
@@ -80,45 +80,7 @@ def test_windows(spark):
     assert got == [[t[i:i + 10] for i in range(0, len(t), 7)] for t in texts]
 
 
-SOURCE = '''"""Doc."""
-import os
-
-@deco
-def top(items):
-    return items.values
-
-
-class Agent:
-    limit = 3
-
-    @property
-    def run(self):
-        for item in self.messages:
-            while item.open:
-                item.step()
-        return 1
-
-
-class Empty:
-    def go(self):
-        pass
-'''
-
-
-def test_code_chunks(spark):
-    df = spark.createDataFrame([("a.py", SOURCE), ("b.py", "def broken(:"), ("c.py", "x = 1\n")], "file_path string, content string")
-    rows = code_chunks(df).orderBy("file_path", "part").collect()
-    a = [(r["symbol"], r["content"]) for r in rows if r["file_path"] == "a.py"]
-    assert [s for s, _ in a] == ["<module>", "top", "Agent", "Agent.run", "Agent.run.for_loop_1", "Agent.run.while_loop_2", "Empty.go"]
-    by = dict(a)
-    assert by["<module>"].endswith("@deco") and by["top"].startswith("@deco")
-    assert by["Agent"] == "class Agent:\n    limit = 3\n\n    @property" and by["Agent.run"].startswith("@property")
-    assert by["Agent.run.while_loop_2"] == "            while item.open:\n                item.step()"
-    loop = next(r for r in rows if r["symbol"] == "Agent.run.while_loop_2")
-    assert loop["structural_tokens"] == "item loop open step while while_loop"
-    assert "message messages" in next(r for r in rows if r["symbol"] == "Agent.run")["structural_tokens"]
-    assert [r["parsed"] for r in rows if r["file_path"] == "b.py"] == [False]
-    assert [r["symbol"] for r in rows if r["file_path"] == "c.py"] == ["<module>"]
-    meta = code_chunks(df).filter("symbol = 'Agent.run'").select(code_metadata(F.lit("c1"), F.lit("u"), F.lit("t")).alias("m")).select("m.*").first()
-    assert meta["symbol_tokens"] == "Agent run" and meta["identifier_aliases_zh"] == "循环 执行 步骤 消息"
-    assert meta["chunk_id"].startswith("repo:") and len(meta["chunk_id"]) == 25
+def test_identifier_columns(spark):
+    row = spark.range(1).select(rules.structural_tokens(T.strings(["run.messages", "items"])).alias("t"),
+                                rules.identifier_aliases(T.strings(["message", "unknown_word"])).alias("a")).first()
+    assert list(row["t"]) == sorted({"run.messages", "items", "run", "messages", "run.message", "item"}) and row["a"] == "消息"

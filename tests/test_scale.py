@@ -100,3 +100,20 @@ def test_no_stats_on_empty_tables(spark):
     index = lexical.term_index(chunks(spark).filter("chunk_id < 0"))
     assert lexical.bm25_topk(index, questions(spark), 5).count() == 0
     assert lexical.corpus_stats(index).first().asDict() == {"n_chunks": 0, "avg_len": 1.0}
+
+
+def test_limits_are_parameters(spark):
+    from pyspark.sql import functions as F
+
+    from groundline.functions import rules
+    from groundline.operators import evidence, tasks
+
+    rows = spark.createDataFrame([("t", "own", "FACT_LOOKUP", [f"q{i}" for i in range(6)]), ("u", "own", "COMPARISON", [f"q{i}" for i in range(6)])],
+                                 "task_id string, query string, task_type string, research_questions array<string>")
+    count = lambda n: {r["task_id"]: r["count"] for r in tasks.task_queries(rows, max_queries=n).groupBy("task_id").count().collect()}
+    assert count(None) == {"t": 6, "u": 6} and count(4) == {"t": 1, "u": 4}
+    pool = spark.createDataFrame([("t", f"e{i}", i, 0) for i in range(30)], "task_id string, evidence_id string, rank long, query_no long")
+    assert evidence.round_robin(pool).count() == 30 and evidence.round_robin(pool, 18).count() == 18
+    text = "x" * 230 + " token=abcdefghijkl end"
+    whole, short = spark.range(1).select(rules.redact(F.lit(text)), rules.redact(F.lit(text), 240)).first()
+    assert whole == "x" * 230 + " [REDACTED] end" and short == whole[:240]

@@ -28,8 +28,13 @@ def test_source_tree(spark, tmp_path):
     assert {r["file_path"]: r["status"] for r in tree.collect()} == {
         "README.md": "kept", "pkg/mod.py": "kept", "pkg/bad.py": "kept", "node_modules/x.md": "skipped_path", "data.bin": "skipped_suffix",
         "latin.txt": "skipped_encoding", "blank.rst": "skipped_blank", "big.txt": "skipped_size"}
-    got = sorted((r["file_path"], r["symbol"], r["content_type"]) for r in files.repository_chunks(tree).collect())
-    assert got == [("README.md", "Part", "documentation"), ("README.md", "Title", "documentation"), ("pkg/mod.py", "f", "source_code")]
+    got = sorted((r["file_path"], r["symbol"], r["content_type"]) for r in files.documentation_chunks(tree).collect())
+    assert got == [("README.md", "Part", "documentation"), ("README.md", "Title", "documentation")]
+    assert files.source_tree(spark, str(tmp_path), None).filter("status = 'skipped_size'").count() == 0
+    root = str(tmp_path)
+    write(tmp_path / f"build{root}/c.md", "x")  # the root's name again below it
+    again = {r["file_path"]: r["status"] for r in files.source_tree(spark, f"file:{root}").collect()}
+    assert again[f"build{root}/c.md"] == "skipped_path" and again["README.md"] == "kept"
 
 
 def test_text_files_drop_bad_bytes(spark, tmp_path):
@@ -55,8 +60,6 @@ def test_corpus(spark, tmp_path):
     write(tmp_path / "data/corpus/two/content.md", "plain   text")
     rows = sorted((r["source"], r["file_path"], r["symbol"], r["content"]) for r in corpus.bootstrap(spark, root, base).fillna("-").collect())
     assert rows == [("research:one", "norm/one.md", "H", "## H\n\nbody"), ("research:two", "-", "-", "plain text")]
-    code = corpus.repository_files(spark, corpus.manifests(spark, root, base), base).first()
-    assert (code["file_path"], code["metadata"]["symbol"], code["metadata"]["source_title"], code["metadata"]["commit"]) == ("src/a.py", "go", "ONE", "c1")
     write(tmp_path / "data/corpus/two/content.md", " ")
     with pytest.raises(ValueError):
         corpus.bootstrap(spark, root, base)
