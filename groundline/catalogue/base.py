@@ -22,8 +22,13 @@ _STORED: dict[tuple, object] = {}
 
 
 def stored(spark: SparkSession, d: str, name: str, build):
-    """``build()`` once per session and table folder: what queries share is written once, like a kept index."""
-    key = (spark.sparkContext.applicationId, spark._jsparkSession.hashCode(), d, name)
+    """``build()`` once per session and state of the table folder: what queries share is written once, like a kept index.
+
+    The state is the listing of the tables that are read, so a changed file is built anew.
+    """
+    listing = spark.read.format("binaryFile").load([f"{d}/{t}.parquet" for t in ("documents", "embeddings", "benchmark")]).select(
+        F.crc32(F.concat_ws("|", "path", "modificationTime", "length").cast("binary")).alias("c")).agg(F.count("*"), F.sum("c")).first()
+    key = (spark.sparkContext.applicationId, spark._jsparkSession.hashCode(), d, name, tuple(listing))
     if key not in _STORED:
         _STORED[key] = build()
     return _STORED[key]

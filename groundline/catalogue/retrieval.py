@@ -129,8 +129,18 @@ def backend_status(spark, d):
         F.col("vector_hits").isNull().alias("fallback_used"))
 
 
+def vector_mixed_dims(spark, d):
+    """Vectors and questions of several lengths, and how each question fared."""
+    half = lambda c, n: F.when(c % n == 1, F.slice("embedding", 1, 32)).when(c % n == 2, F.slice("embedding", 1, 5)).otherwise(F.col("embedding"))
+    q = B.queries(spark, d).withColumn("embedding", F.when(F.col("query_id") % 4 == 3, F.slice("embedding", 1, 9)).otherwise(half(F.col("query_id"), 4)))
+    v = B.table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), half(F.col("vec_id"), 3).alias("embedding"))
+    hits = vectors.vector_topk(v, q)
+    return vectors.vector_status(v, q).join(hits, "query_id", "left").select(
+        "query_id", "status", F.coalesce("reason", F.lit("")).alias("reason"), "vectors_searched", "rank", "chunk_id", F.round("score", 6).alias("score"))
+
+
 QUERIES = {f.__name__: f for f in (
-    chunk_window, tokenize_terms, term_stats, corpus_stats, chunk_postings, bm25_topk, vector_topk, score_normalize,
+    vector_mixed_dims, chunk_window, tokenize_terms, term_stats, corpus_stats, chunk_postings, bm25_topk, vector_topk, score_normalize,
     hybrid_fusion, rerank_features, rerank_topk, bm25_only_topk, neighbor_expand, retrieve_full, retrieve_diagnostics,
     backend_status)}
 
@@ -144,6 +154,17 @@ ORACLE = {
     "corpus_stats": B.oracle("SELECT n AS n_chunks, round(avgdl, 6) AS avg_len FROM stats", "stats"),
     "chunk_postings": B.oracle("SELECT chunk_id, count(*) AS n_terms, sum(tf)::BIGINT AS dl, max(tf) AS max_tf FROM post GROUP BY 1", "post"),
     "bm25_topk": B.oracle("SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM bmk", "bmk"),
+    "vector_mixed_dims": B.oracle("""WITH v AS (SELECT vec_id AS chunk_id, (CASE vec_id % 3 WHEN 1 THEN embedding[1:32] WHEN 2 THEN embedding[1:5] ELSE embedding END)::DOUBLE[] AS e FROM embeddings),
+      q AS (SELECT item_id AS query_id, (CASE item_id % 4 WHEN 1 THEN embedding[1:32] WHEN 2 THEN embedding[1:5] WHEN 3 THEN embedding[1:9] ELSE embedding END)::DOUBLE[] AS e
+        FROM benchmark LEFT JOIN embeddings ON vec_id = item_id * 20),
+      n AS (SELECT len(e) AS size, count(*) AS n FROM v GROUP BY 1),
+      h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM (
+        SELECT query_id, chunk_id, CASE WHEN len(q.e) = len(v.e) THEN 1e0 / (1e0 + greatest(0e0, 1e0 - list_cosine_similarity(q.e, v.e))) END AS score
+        FROM q JOIN v ON len(q.e) = len(v.e)) QUALIFY rank <= 16)
+      SELECT query_id, CASE WHEN n > 0 THEN 'used' ELSE 'fallback' END AS status,
+        CASE WHEN e IS NULL THEN 'no_query_vector' WHEN n IS NULL THEN 'no_vectors_of_this_size' ELSE '' END AS reason,
+        coalesce(n, 0) AS vectors_searched, rank, chunk_id, round(score, 6) AS score
+      FROM q LEFT JOIN n ON size = len(e) LEFT JOIN h USING (query_id)"""),
     "vector_topk": B.oracle("SELECT query_id, rank, chunk_id, round(score, 6) AS score, source FROM vk JOIN chunks USING (chunk_id)", "vk", "chunks"),
     "score_normalize": B.oracle("""SELECT 'bm25' AS stage, query_id, chunk_id, round(norm, 6) AS norm FROM bmn UNION ALL
         SELECT 'vector', query_id, chunk_id, round(norm, 6) FROM vn""", "bmn", "vn"),

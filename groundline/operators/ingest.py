@@ -33,10 +33,16 @@ def changed_sources(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Per incoming source: same ordered contents, same revision, and what to do.
 
     Rows are compared position by position in one equi-join, so no source is ever
-    gathered; ``existing`` needs source, source_index, content, revision.
+    gathered; ``existing`` needs source, source_index, content, revision. Where both
+    sides have metadata_json, a difference in it alone is a patch too.
     """
-    old = existing.select("source", "source_index", T.sha("content").alias("old_sha"), F.col("revision").alias("old_rev"))
-    new = incoming.select("source", "source_index", T.sha("content").alias("new_sha"), F.col("revision").alias("new_rev"))
+    described = "metadata_json" in existing.columns and "metadata_json" in incoming.columns
+
+    def described_revision(df: DataFrame) -> Column:
+        return F.struct("revision", *(["metadata_json"] if described else []))
+
+    old = existing.select("source", "source_index", T.sha("content").alias("old_sha"), described_revision(existing).alias("old_rev"))
+    new = incoming.select("source", "source_index", T.sha("content").alias("new_sha"), described_revision(incoming).alias("new_rev"))
     per = old.join(new, ["source", "source_index"], "full_outer").groupBy("source").agg(
         F.count("old_sha").alias("n_old"), F.count("new_sha").alias("n_new"),
         F.bool_and(F.col("old_sha").eqNullSafe(F.col("new_sha"))).alias("same_content"),

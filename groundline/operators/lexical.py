@@ -96,8 +96,8 @@ class _Weights:
 
 def _score_batches(batches: Iterator[pa.RecordBatch], weights: _Weights, k: int, avg_len: float):
     best = LocalTopK(len(weights.query_ids), k)
-    blocks = list(weights.blocks())
     for batch in batches:
+        parts = []
         for lo in range(0, batch.num_rows, 2048):
             part = batch.slice(lo, 2048)
             sizes = pc.list_value_length(part["terms"]).to_numpy(zero_copy_only=False)
@@ -110,11 +110,13 @@ def _score_batches(batches: Iterator[pa.RecordBatch], weights: _Weights, k: int,
             dl = part["dl"].to_numpy().astype(float)
             norm = C.BM25_K1 * (1.0 - C.BM25_B + C.BM25_B * dl / avg_len)
             value = tf * (C.BM25_K1 + 1.0) / (tf + norm[rows])
-            ids = part["chunk_id"].to_numpy()
-            for first, used, matrix in blocks:
+            parts.append((part["chunk_id"].to_numpy(), rows, terms, value))
+        # one dense block of questions exists at a time
+        for first, used, matrix in weights.blocks():
+            for ids, rows, terms, value in parts:
                 at = np.searchsorted(used, terms)
                 ok = (at < len(used)) & (used[np.minimum(at, len(used) - 1)] == terms)
-                dense = np.zeros((part.num_rows, len(used)))
+                dense = np.zeros((len(ids), len(used)))
                 dense[rows[ok], at[ok]] = value[ok]
                 best.add(first, ids, dense @ matrix)
     yield best.batch(weights.query_ids)

@@ -30,9 +30,10 @@ def ensure_sources(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     cols = ["source", "source_index", *[c for c in existing.columns if c not in ("source", "source_index")], "action"]
     new = join_per_key(incoming, plan, ["source"], "inner", "source_index")
     old = join_per_key(existing, plan, ["source"], "left", "source_index").withColumn("action", F.coalesce("action", F.lit("untouched")))
-    meta = new.filter("action = 'patch'").select("source", "source_index", F.col("revision").alias("_rev"))
-    patched = old.filter("action <> 'replace'").join(meta, ["source", "source_index"], "left").withColumn(
-        "revision", F.coalesce("_rev", "revision"))
+    described = [c for c in ("revision", "metadata_json") if c in existing.columns and c in incoming.columns]
+    meta = new.filter("action = 'patch'").select("source", "source_index", F.struct(*described).alias("_new"))
+    patched = old.filter("action <> 'replace'").join(meta, ["source", "source_index"], "left").withColumns(
+        {c: F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)) for c in described})
     return new.filter("action = 'replace'").select(*cols).unionByName(patched.select(*cols))
 
 

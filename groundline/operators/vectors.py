@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from groundline import config as C
@@ -45,44 +46,72 @@ def _unit_rows(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.where(norm == 0, 1.0, norm)
 
 
-def _search(batches: Iterator[pa.RecordBatch], ids: pa.Array, queries: np.ndarray, k: int):
+def _by_size(ids: pa.Array, lists: pa.Array) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+    """(length, ids, unit vectors) for every vector length."""
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    for size in np.unique(sizes).tolist():
+        rows = pa.array(np.flatnonzero(sizes == size))
+        flat = lists.take(rows).flatten().to_numpy(zero_copy_only=False)
+        yield size, ids.take(rows), _unit_rows(flat.reshape(len(rows), size).astype(np.float64))
+
+
+def _search(batches: Iterator[pa.RecordBatch], ids: pa.Array, queries: dict[int, tuple[int, np.ndarray]], k: int):
+    """``queries``: first query and matrix per vector length."""
     best = LocalTopK(len(ids), k)
     for batch in batches:
         for lo in range(0, batch.num_rows, 4096):
             part = batch.slice(lo, 4096)
-            flat = part["embedding"].flatten().to_numpy(zero_copy_only=False)
-            rows = _unit_rows(flat.reshape(part.num_rows, -1).astype(np.float64))
-            chunk_ids = part["chunk_id"].to_numpy()
-            for first in range(0, len(ids), 512):
-                cosine = rows @ queries[first:first + 512].T
-                best.add(first, chunk_ids, 1.0 / (1.0 + np.maximum(0.0, 1.0 - cosine)))
+            for size, chunk_ids, rows in _by_size(part["chunk_id"], part["embedding"]):
+                start, matrix = queries.get(size, (0, np.zeros((0, size))))
+                for first in range(0, len(matrix), 512):
+                    cosine = rows @ matrix[first:first + 512].T
+                    best.add(start + first, chunk_ids.to_numpy(), 1.0 / (1.0 + np.maximum(0.0, 1.0 - cosine)))
     yield best.batch(ids)
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = C.CANDIDATE_K, dims: int | None = None) -> DataFrame:
-    """Exact cosine top ``k`` per query: (query_id, chunk_id, score, rank).
+def _searchable(c: str = "embedding") -> Column:
+    """Neither missing nor empty nor with missing parts."""
+    return F.coalesce((F.size(c) > 0) & ~F.exists(c, lambda x: x.isNull()), F.lit(False))
+
+
+def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = C.CANDIDATE_K) -> DataFrame:
+    """Exact cosine top ``k`` per query among the vectors of its length: (query_id, chunk_id, score, rank).
 
-    Queries are a broadcast matrix of checked size (split into passes beyond it);
-    each task multiplies its own vectors with it and emits its local top k, so no
-    pair of query and chunk is ever a row. Queries without a vector get no hits.
+    Queries are a broadcast matrix per length of checked size (split into passes
+    beyond it); each task multiplies its own vectors with it and emits its local
+    top k, so no pair of query and chunk is ever a row. ``vector_status`` tells
+    which queries and vectors cannot take part.
     """
     spark = vectors.sparkSession
-    asked = queries.filter("embedding IS NOT NULL").select("query_id", "embedding")
-    n = asked.count()
-    if dims is None:
-        first = asked.select(F.size("embedding")).first()
-        dims = first[0] if first else 0
+    asked = queries.filter(_searchable()).select("query_id", "embedding")
+    n, total = asked.agg(F.count("*"), F.sum(F.size("embedding"))).first()
     id_type = queries.schema["query_id"].dataType.simpleString()
     schema = f"query_id {id_type}, chunk_id long, score double"
-    usable = vectors.filter((F.size("embedding") == dims) & F.col("chunk_id").isNotNull()).select("chunk_id", "embedding")
+    usable = vectors.filter(_searchable() & F.col("chunk_id").isNotNull()).select("chunk_id", "embedding")
 
     def run(table: pa.Table) -> DataFrame:
-        matrix = np.array(table["embedding"].to_pylist(), dtype=np.float64)
-        ids = table["query_id"].combine_chunks()
-        shared = spark.sparkContext.broadcast((ids, _unit_rows(matrix)))
+        table = table.combine_chunks()
+        found = list(_by_size(table["query_id"].combine_chunks(), table["embedding"].combine_chunks()))
+        starts = np.cumsum([0, *(len(ids) for _, ids, _ in found)]).tolist()
+        shared = spark.sparkContext.broadcast((pa.concat_arrays([ids for _, ids, _ in found]),
+                                               {size: (at, matrix) for (size, _, matrix), at in zip(found, starts, strict=False)}))
         return usable.mapInArrow(lambda it: _search(it, shared.value[0], shared.value[1], k), schema)
 
-    return query_passes(spark, passes(asked, n, 8 * dims + 32), run, schema, k)
+    return query_passes(spark, passes(asked, n, 8 * -(-(total or 0) // max(n, 1)) + 32), run, schema, k)
+
+
+def vector_status(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """Per query: (query_id, status, reason, vectors_searched); status is used or fallback (BM25 alone).
+
+    Counts per vector length are small and combine before their shuffle.
+    """
+    known = vectors.filter(_searchable() & F.col("chunk_id").isNotNull()).groupBy(F.size("embedding").alias("size")).agg(F.count("*").alias("n"))
+    asked = queries.select("query_id", F.when(_searchable(), F.size("embedding")).alias("size"))
+    searched = F.coalesce("n", F.lit(0))
+    return asked.join(known, "size", "left").select(
+        "query_id", F.when(searched > 0, F.lit("used")).otherwise(F.lit("fallback")).alias("status"),
+        F.when(F.col("size").isNull(), F.lit("no_query_vector")).when(searched == 0, F.lit("no_vectors_of_this_size")).alias("reason"),
+        searched.alias("vectors_searched"))
 
 
 # ---- vector table upkeep -------------------------------------------------------

@@ -23,7 +23,7 @@ def answer_runs(tables: SearchTables, tasks: DataFrame, drafts: Callable[[DataFr
     offline inference over the pool.
     """
     pool = materialize(research(tables, tasks, max_items=max_items), "pool")
-    outcomes = G.draft_outcomes(G.cases(tasks, pool, drafts(pool)))
+    outcomes = G.draft_outcomes(G.cases(tasks, pool, drafts(pool), how="left"))
     checked = verdicts(G.cases(tasks, pool, outcomes.select("task_id", "answer", "claims", "outcome")))
     final = assemble(checked.drop("sufficient"), G.verify(checked))
     extra = checked.select("task_id", "outcome", F.array_distinct(F.transform("pool", lambda p: p["source_id"])).alias("pool_sources"))

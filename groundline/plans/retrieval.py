@@ -24,9 +24,9 @@ class SearchTables:
 
     @classmethod
     def build(cls, chunks: DataFrame, vectors: DataFrame) -> "SearchTables":
-        """Write chunks and their token lists once; every later step reads its columns from files."""
+        """Write chunks, their token lists and vectors once; every later step reads its columns from files."""
         stored = materialize(with_terms(chunks), "chunks")
-        return cls(stored.drop("dl", "terms"), stored.select("chunk_id", "dl", "terms"), vectors)
+        return cls(stored.drop("dl", "terms"), stored.select("chunk_id", "dl", "terms"), materialize(vectors, "vectors"))
 
 
 def with_search_text(chunks: DataFrame) -> DataFrame:

@@ -84,3 +84,14 @@ def test_outcomes(spark):
     assert (only["outcome"], only["result_status"], only["repair_validation_reason"]) == ("fallback", "draft_fallback", "too_short")
     empty = G.draft_outcomes(case(spark, "any", GOOD, pool=[]).withColumn("attempt", F.lit(1))).first()
     assert (empty["outcome"], empty["evidence_insufficient"]) == ("insufficient", True)
+
+
+def test_tasks_without_draft_or_evidence_stay(spark):
+    tasks = spark.createDataFrame([("a", "q"), ("b", "q"), ("c", "q")], "task_id string, query string").withColumns(
+        {"task_type": F.lit("FACT_LOOKUP"), "entities": F.array().cast("array<string>"), "research_questions": F.array(F.lit("q")), "requires_comparison": F.lit(False)})
+    pool = spark.createDataFrame([("a", 1, "e1", "s", "t", "m"), ("b", 1, "e1", "s", "t", "m")],
+                                 "task_id string, pos long, evidence_id string, source_id string, source_title string, meta_title string").withColumns(
+        {c: F.lit("x") for c in ("section", "content", "canonical_content", "file_path", "repository_url", "symbol", "title", "source_type")})
+    drafts = spark.createDataFrame([("a", 1, "A long enough answer.", [("c1", "claim", ["e1"])])], "task_id string, attempt int, answer string, claims " + G.CLAIMS)
+    out = {r["task_id"]: (r["outcome"], r["evidence_insufficient"]) for r in G.draft_outcomes(G.cases(tasks, pool, drafts, how="left")).collect()}
+    assert out == {"a": ("valid", False), "b": ("fallback", False), "c": ("insufficient", True)}

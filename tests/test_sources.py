@@ -110,3 +110,11 @@ def test_model_hooks(spark):
     assert sorted(r[0][0] for r in df.select(vec(F.col("t"))).collect()) == [1.0, 2.0]
     up = models.complete(lambda p: p.upper())
     assert sorted(r[0] for r in df.select(up(F.col("t"))).collect()) == ["AB", "C"]
+
+
+def test_metadata_only_change_is_a_patch(spark):
+    schema = "source string, source_index long, content string, revision string, metadata_json string"
+    old = spark.createDataFrame([("s", 0, "a", "r1", "{}"), ("t", 0, "b", "r1", "{}"), ("u", 0, "c", "r1", None)], schema)
+    new = spark.createDataFrame([("s", 0, "a", "r1", '{"k": 1}'), ("t", 0, "b", "r1", "{}"), ("u", 0, "d", "r1", None)], schema)
+    got = {r["source"]: (r["action"], r["metadata_json"], r["content"]) for r in tables.ensure_sources(old, new).collect()}
+    assert got == {"s": ("patch", '{"k": 1}', "a"), "t": ("keep", "{}", "b"), "u": ("replace", None, "d")}
