@@ -7,6 +7,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from groundline import config as C
 from groundline.functions import text as T
 from groundline.operators.ordering import running_offset
+from groundline.session import broadcast_if_small
+
+
+#: Bytes of a (source, doc_id, offset) row in a broadcast, source names of up to some hundred characters included.
+OFFSET_BYTES = 256
 
 
 def windows(content: Column, size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP) -> Column:
@@ -31,14 +36,20 @@ def window_chunks(docs: DataFrame, size: int = C.CHUNK_SIZE, overlap: int = C.CH
                   bucket_docs: int = 4096) -> DataFrame:
     """Chunk (doc_id, source, text, …) rows; ``source_index`` counts chunks within a source.
 
-    The number of windows follows from the length, so offsets are summed over one
-    row per document before the windows are produced, and a large source is
-    numbered bucket by bucket.
+    (source, doc_id) names a row. The number of windows follows from the length,
+    so offsets are summed over a table of (source, doc_id, windows), bucket by
+    bucket in a large source, and come back to the texts by a broadcast while
+    that table is small: text is not shuffled. Buckets are equal ranges of the
+    ids there are, about ``bucket_docs`` documents each for dense and hashed ids.
     """
-    flat = docs.withColumn("text", T.collapse("text")).withColumn("_n", window_count(F.col("text"), size, overlap))
-    placed = running_offset(flat, ["source"], F.floor(F.col("doc_id") / bucket_docs),
-                            ["doc_id"], F.col("_n"), "_offset")
-    keep = [c for c in placed.columns if c not in ("text", "_n", "_offset")]
+    flat = docs.withColumn("text", T.collapse("text"))
+    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
+    width = max(1.0, (high - low + 1) * bucket_docs / n) if n else 1.0
+    bucket = F.floor((F.col("doc_id").cast("double") - float(low or 0)) / width)
+    narrow = flat.select("source", "doc_id", window_count(F.col("text"), size, overlap).alias("_n")).filter("_n > 0")
+    offsets = running_offset(narrow, ["source"], bucket, ["doc_id"], F.col("_n"), "_offset").select("source", "doc_id", "_offset")
+    placed = flat.join(broadcast_if_small(offsets, n, OFFSET_BYTES), ["source", "doc_id"])
+    keep = [c for c in docs.columns if c != "text"]
     return placed.select(
         *keep, "_offset", F.posexplode(windows(F.col("text"), size, overlap)).alias("part", "content")
     ).withColumn("source_index", F.col("_offset") + F.col("part")).drop("_offset")

@@ -117,3 +117,22 @@ def test_limits_are_parameters(spark):
     text = "x" * 230 + " token=abcdefghijkl end"
     whole, short = spark.range(1).select(rules.redact(F.lit(text)), rules.redact(F.lit(text), 240)).first()
     assert whole == "x" * 230 + " [REDACTED] end" and short == whole[:240]
+
+
+def test_chunk_numbers_without_moving_text(spark):
+    from groundline.operators.chunking import window_chunks
+
+    docs = spark.range(3000).select(F.xxhash64("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("s"), F.col("id") % 5)).alias("source"),
+                                    F.repeat(F.lit("word "), (F.col("id") % 9).cast("int")).alias("text"))
+    got = window_chunks(docs, 10, 2, bucket_docs=50)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.split("\n") if "Exchange hashpartitioning" in line and "text" in line]
+    want = {}
+    for r in sorted(docs.collect(), key=lambda r: (r["source"], r["doc_id"])):
+        flat = r["text"].strip()
+        for part in range(-(-len(flat) // 8) if flat else 0):
+            at = want.setdefault(r["source"], [])
+            at.append((r["doc_id"], part, flat[part * 8:part * 8 + 10]))
+    rows = got.collect()
+    assert len(rows) == sum(map(len, want.values()))
+    assert all(want[r["source"]][r["source_index"]] == (r["doc_id"], r["part"], r["content"]) for r in rows)
