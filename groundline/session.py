@@ -37,6 +37,10 @@ def get_session(app: str = "groundline", master: str | None = None, shuffle_part
     return builder.getOrCreate()
 
 
+def is_local(spark: SparkSession) -> bool:
+    return re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master) is not None
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
 
@@ -46,7 +50,7 @@ def shared_folder(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+    if not is_local(spark):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     folder = tempfile.mkdtemp(prefix="groundline-")
     spark.sparkContext.setCheckpointDir(folder)
@@ -70,15 +74,12 @@ def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows of a small scan dealt out to all cores before CPU-heavy work.
+    """Rows of a scan dealt out to all cores of a local session, where a small file is a single row group.
 
-    A small file is often a single row group, hence a single task. The estimated
-    size is checked: a table that gives every core a full split stays as it is.
+    On a cluster the scan stays as it is.
     """
     spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * 64 * 1024 * 1024 else df
+    return df.repartition(spark.sparkContext.defaultParallelism) if is_local(spark) else df
 
 
 _SHIPPED: set[str] = set()
