@@ -174,17 +174,18 @@ def _candidate_clusters(classes: DataFrame, scratch: Scratch, side: int) -> Data
             .select("doc", F.xxhash64("i", "j", "x", "y").alias("key")))
     # two pivots a bucket; both combine before the shuffle
     buckets = keys.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
-    hits = keys.join(buckets, "key")
+    hits = keys.join(buckets.hint("merge"), "key")
     pairs = scratch.write(hits.select("doc", F.explode(F.array("low", "high")).alias("pivot")).where("doc <> pivot").select(
         F.greatest("doc", "pivot").alias("a"), F.least("doc", "pivot").alias("b")).distinct(), "pairs")
     sketch = classes.groupBy("doc").agg(F.min("sketch").alias("sketch"))
     low = F.lit(0xFFFFFFFF)
+    # these sides grow with the documents: never a broadcast, whatever their number
     agree = F.aggregate(
         F.zip_with("x", "y", lambda x, y: (x.bitwiseAND(low) == y.bitwiseAND(low)).cast("int")
                    + (F.shiftrightunsigned(x, 32) == F.shiftrightunsigned(y, 32)).cast("int")),
         F.lit(0), lambda t, v: t + v)
-    close = (pairs.join(sketch.select(F.col("doc").alias("a"), F.col("sketch").alias("x")), "a")
-             .join(sketch.select(F.col("doc").alias("b"), F.col("sketch").alias("y")), "b")
+    close = (pairs.join(sketch.select(F.col("doc").alias("a"), F.col("sketch").alias("x")).hint("merge"), "a")
+             .join(sketch.select(F.col("doc").alias("b"), F.col("sketch").alias("y")).hint("merge"), "b")
              .where(agree >= LEAST_AGREEMENT * 4 * side).select("a", "b"))
     return components(close, scratch, "cluster")
 
