@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from groundline import config as C
@@ -57,6 +59,13 @@ def evidence(spark, d):
     return B.stored(spark, d, "evidence", build)
 
 
+def query_vectors(spark, d):
+    """Query n of task i asks with embedding 16 i + n; those beyond the table have no vector."""
+    vec = B.table(spark, d, "embeddings").select("vec_id", "embedding")
+    item = F.substring_index("task_id", "-", -1).cast("long")
+    return lambda asked: asked.withColumn("vec_id", item * 16 + F.col("query_no")).join(vec, "vec_id", "left").drop("vec_id")
+
+
 def merged(spark, d):
     return E.round_robin(evidence(spark, d))
 
@@ -130,9 +139,23 @@ def evidence_select(spark, d):
         "task_id", "pos", "evidence_id", "source_id", F.round("select_score", 6).alias("select_score"))
 
 
+def _pool(spark, d):
+    return R.research(B.search_tables(spark, d), tasks(spark, d), embed=query_vectors(spark, d))
+
+
 def research_full(spark, d):
-    pool = R.research(B.search_tables(spark, d), tasks(spark, d))
-    return pool.select("task_id", "pos", "evidence_id", "source_type", "section", "query_used", F.round("score", 6).alias("score"), T.sha("content").alias("sha"))
+    return _pool(spark, d).select(
+        "task_id", "pos", "evidence_id", "source_type", "section", "query_used", F.round("score", 6).alias("score"),
+        F.array_join("retrieved_by", ",").alias("retrieved_by"), T.sha("content").alias("sha"))
+
+
+def repair_run(spark, d):
+    """Both rounds: pools, then the suggested queries of every comparison, merged into the pools."""
+    t = tasks(spark, d)
+    first = materialize(_pool(spark, d), "first-pool")
+    said = t.filter("requires_comparison").select("task_id", F.array(F.concat(F.lit("more on "), "query"), F.lit(" "), F.col("query")).alias("suggested_queries"))
+    return R.repair(B.search_tables(spark, d), t, first, said, embed=query_vectors(spark, d)).select(
+        "task_id", "pos", "evidence_id", "retrieval_round")
 
 
 def retrieval_repair_merge(spark, d):
@@ -147,7 +170,7 @@ def retrieval_repair_merge(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     query_context, task_fallback_analysis, task_queries, hit_to_evidence, round_robin_merge, pool_extend, prefer_source_type,
-    prefer_entity, evidence_score, text_quality, evidence_select, research_full, retrieval_repair_merge)}
+    prefer_entity, evidence_score, text_quality, evidence_select, research_full, repair_run, retrieval_repair_merge)}
 
 # ---- the same in SQL ---------------------------------------------------------------------------
 
@@ -245,34 +268,42 @@ def select_views(prefix: str, source: str) -> None:
 prefer_views("m", "merged")
 select_views("m", "merged")
 
-# full retrieval for task queries (no vectors): BM25, fusion, rerank, expansion
+# full retrieval for task queries: BM25, vectors, fusion, rerank, expansion
 B.VIEWS |= {
     "tq": f"""SELECT task_id || '#' || (i - 1) AS query_id, task_id, (i - 1)::BIGINT AS query_no, qs[i] AS query FROM
         (SELECT *, unnest(range(1, len(qs) + 1)) AS i FROM (SELECT task_id, list_transform(list_sort(list_transform(list_distinct(q), lambda x: [lpad(list_position(q, x)::VARCHAR, 6, '0'), x])), lambda p: p[2]) AS qs FROM
           (SELECT task_id, rq AS q FROM tasks)))""",
+    "sq": f"""SELECT task_id || '#' || query_no AS query_id, task_id, query_no::BIGINT AS query_no,
+        {B.d_strip("CASE query_no WHEN 0 THEN 'more on ' || query ELSE query END")} AS query
+      FROM tasks, (SELECT unnest([0, 1]) AS query_no) WHERE cmp""",
 }
-B.NEEDS |= {"tq": ["tasks"]}
-for _n in ("qt", "bm", "bmk", "bmn"):
-    B.VIEWS["t" + _n] = {
-        "qt": B.VIEWS["qt"].replace("FROM queries", "FROM tq"),
-        "bm": B.VIEWS["bm"].replace("FROM qt", "FROM tqt"),
-        "bmk": B.VIEWS["bmk"].replace("FROM bm ", "FROM tbm "),
-        "bmn": B.VIEWS["bmn"].replace("FROM bmk", "FROM tbmk"),
-    }[_n]
-B.VIEWS["tfused"] = """SELECT query_id, chunk_id, norm AS score, NULL::DOUBLE AS v_raw, score AS b_raw, row_number() OVER (PARTITION BY query_id ORDER BY round(norm, 9) DESC, rank) AS rank FROM tbmn"""
-B.VIEWS["tfeat"] = B.VIEWS["feat"].replace("FROM fused f", "FROM tfused f").replace("FROM fused JOIN qt", "FROM tfused JOIN tqt").replace(
-    "FROM queries)", "FROM tq)").replace("FROM qt GROUP", "FROM tqt GROUP")
-B.VIEWS["treranked"] = B.VIEWS["reranked"].replace("FROM feat", "FROM tfeat")
-B.VIEWS["tranked"] = B.VIEWS["ranked"].replace("FROM reranked", "FROM treranked")
-B.VIEWS["fevid"] = f"""SELECT task_id, query_no, query AS used, final_rank AS rank, rscore AS score, chunk_id, source || ':' || chunk_id AS evidence_id, source, title, file_path, symbol,
+B.NEEDS |= {"tq": ["tasks"], "sq": ["tasks"]}
+
+
+def retrieval_views(p: str, asked: str, f: str) -> None:
+    """Search views under prefix ``p`` over the query view ``asked``; the evidence is view ``f`` + evid."""
+    names = ("qt", "bm", "bmk", "vk", "bmn", "vn", "fusedall", "fused", "feat", "reranked", "ranked")
+    B.VIEWS[f"{p}queries"] = f"""SELECT q.*, embedding FROM {asked} q JOIN tasks USING (task_id)
+      LEFT JOIN embeddings ON vec_id = item_id * 16 + query_no"""
+    B.NEEDS[f"{p}queries"] = [asked, "tasks"]
+    own = re.compile(rf"\b(FROM|JOIN) ({'|'.join((*names, 'queries'))})\b")
+    for n in names:
+        B.VIEWS[p + n] = own.sub(rf"\1 {p}\2", B.VIEWS[n])
+        B.NEEDS[p + n] = [p + x if x in (*names, "queries") else x for x in B.NEEDS[n]]
+    B.VIEWS[f"{f}evid"] = f"""SELECT task_id, query_no, query AS used, final_rank AS rank, rscore AS score, chunk_id, source || ':' || chunk_id AS evidence_id, source, title, file_path, symbol,
         CASE WHEN final_rank = 1 THEN expanded ELSE content END AS content,
+        concat_ws(',', CASE WHEN b_raw > 0 THEN 'bm25' END, CASE WHEN v_raw > 0 THEN 'vector' END) AS retrieved_by,
         CASE WHEN source_type IS NOT NULL THEN source_type WHEN content_type = 'source_code' THEN 'repository' ELSE 'other' END AS source_type,
         {B.d_alnum("source || source || title || file_path")} AS prov
-      FROM tranked JOIN tq USING (query_id) JOIN chunks_meta USING (chunk_id) JOIN expanded USING (chunk_id) WHERE final_rank <= 5"""
-B.VIEWS["fmerged"] = B.VIEWS["merged"].replace("FROM evid", "FROM fevid")
-B.NEEDS |= {"tqt": ["tq"], "tbm": ["tqt", "post", "dfs", "lens", "stats"], "tbmk": ["tbm"], "tbmn": ["tbmk"], "tfused": ["tbmn"],
-            "tfeat": ["tfused", "tq", "tqt", "search_texts", "post"], "treranked": ["tfeat"], "tranked": ["treranked"],
-            "fevid": ["tranked", "tq", "chunks_meta", "expanded"], "fmerged": ["fevid"]}
+      FROM {p}ranked JOIN {p}queries USING (query_id) JOIN chunks_meta USING (chunk_id) JOIN expanded USING (chunk_id) WHERE final_rank <= 5"""
+    B.VIEWS[f"{f}merged"] = B.VIEWS["merged"].replace("FROM evid", f"FROM {f}evid")
+    B.NEEDS |= {f"{f}evid": [f"{p}ranked", f"{p}queries", "chunks_meta", "expanded"], f"{f}merged": [f"{f}evid"]}
+
+
+retrieval_views("t", "tq", "f")
+retrieval_views("u", "sq", "g2")
+prefer_views("g2", "g2merged")
+select_views("g2", "g2ent")
 prefer_views("f", "fmerged")
 select_views("f", "fent")
 
@@ -287,8 +318,16 @@ B.VIEWS["rext"] = f"""SELECT * EXCLUDE (pos), row_number() OVER (PARTITION BY ta
     SELECT * FROM (SELECT {_COLS}, 1 AS rd FROM r1sel UNION ALL SELECT {_COLS}, 2 FROM r2sel) JOIN (SELECT task_id FROM tasks WHERE cmp) USING (task_id)
     QUALIFY row_number() OVER (PARTITION BY task_id, evidence_id ORDER BY rd, pos) = 1)"""
 B.NEEDS["rext"] = ["r1sel", "r2sel", "tasks"]
+B.VIEWS["wext"] = B.VIEWS["rext"].replace("FROM r1sel", "FROM fsel").replace("FROM r2sel", "FROM g2sel")
+B.NEEDS["wext"] = ["fsel", "g2sel", "tasks"]
+prefer_views("w", "wext")
 prefer_views("x", "rext")
 
+_INTERLEAVED = """SELECT task_id, place AS pos, evidence_id, retrieval_round FROM (SELECT task_id, evidence_id, rd::BIGINT AS retrieval_round,
+          row_number() OVER (PARTITION BY task_id ORDER BY CASE WHEN n > 6 THEN turn ELSE pos END, CASE WHEN n > 6 THEN -rd ELSE 0 END) AS place FROM
+          (SELECT *, count(*) OVER (PARTITION BY task_id) AS n, row_number() OVER (PARTITION BY task_id, rd ORDER BY pos) AS turn FROM {extended})) WHERE place <= 6
+        UNION ALL SELECT task_id, pos, evidence_id, 1::BIGINT FROM {first} JOIN tasks USING (task_id) WHERE NOT tasks.cmp"""
+
 _ANY = B.d_any
 ORACLE = {
     "query_context": B.oracle(f"""SELECT conv_id, turn, {_needs('original')} AS needs_context, sha256({_unwrap('wrapped')}) AS unwrapped,
@@ -321,11 +360,9 @@ ORACLE = {
         ({" + ".join(f"contains(lower(st), '{m}')::BIGINT" for m in C.AUTHOR_MARKERS)}) AS markers
       FROM (SELECT doc_id, st, {B.d_lines('st')} AS ls FROM (SELECT doc_id, {B.d_strip('text')} AS st FROM documents))""",
     "evidence_select": B.oracle("SELECT task_id, pos, evidence_id, source AS source_id, round(select_score, 6) AS select_score FROM msel", "msel"),
-    "research_full": B.oracle("""SELECT task_id, pos, evidence_id, source_type, symbol AS section, used AS query_used, round(score, 6) AS score, sha256(content) AS sha FROM fsel""", "fsel"),
-    "retrieval_repair_merge": B.oracle("""SELECT task_id, place AS pos, evidence_id, retrieval_round FROM (SELECT task_id, evidence_id, rd::BIGINT AS retrieval_round,
-          row_number() OVER (PARTITION BY task_id ORDER BY CASE WHEN n > 6 THEN turn ELSE pos END, CASE WHEN n > 6 THEN -rd ELSE 0 END) AS place FROM
-          (SELECT *, count(*) OVER (PARTITION BY task_id) AS n, row_number() OVER (PARTITION BY task_id, rd ORDER BY pos) AS turn FROM xent)) WHERE place <= 6
-        UNION ALL SELECT task_id, pos, evidence_id, 1::BIGINT FROM r1sel JOIN tasks USING (task_id) WHERE NOT tasks.cmp""", "xent", "r1sel", "tasks"),
+    "research_full": B.oracle("""SELECT task_id, pos, evidence_id, source_type, symbol AS section, used AS query_used, round(score, 6) AS score, retrieved_by, sha256(content) AS sha FROM fsel""", "fsel"),
+    "retrieval_repair_merge": B.oracle(_INTERLEAVED.format(extended="xent", first="r1sel"), "xent", "r1sel", "tasks"),
+    "repair_run": B.oracle(_INTERLEAVED.format(extended="went", first="fsel"), "went", "fsel", "tasks"),
 }
 _ent = {k: B.VIEWS[k] for k in ("ment0", "ment")}
 B.VIEWS["pent0"] = _ent["ment0"].replace("FROM mexp p", "FROM merged p")

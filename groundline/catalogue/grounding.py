@@ -124,7 +124,7 @@ def draft_outcome(spark, d):
 
 
 def retry_kinds(spark, d):
-    rows = attempts_cases(spark, d).withColumn("m", G.attempt_result()["message"])
+    rows = G.with_attempt_result(attempts_cases(spark, d)).withColumn("m", F.col("r.message"))
     raw = F.concat(F.lit("{"), F.col("answer"))
     return rows.select("task_id", "attempt", G.retry_kind(raw, F.coalesce("m", F.lit(""))).alias("retry"))
 
@@ -180,7 +180,7 @@ def prompt_payload(spark, d):
 def answer_run(spark, d):
     """Question to gated answer: retrieval, pool, draft attempts, verification, result."""
     tasks = EV.tasks(spark, d)
-    done = answer_runs(B.search_tables(spark, d), tasks, lambda p: drafts_for(tasks, p).drop("item_id"), verdicts)
+    done = answer_runs(B.search_tables(spark, d), tasks, lambda p: drafts_for(tasks, p).drop("item_id"), verdicts, embed=EV.query_vectors(spark, d))
     return done.select("task_id", T.sha("answer").alias("sha"), "status", "outcome", F.array_join("sources", "|").alias("sources"),
                        F.size("pool_sources").cast("long").alias("n_pool_sources"))
 

@@ -51,7 +51,7 @@ def _scored(df, *extra):
 
 def bm25_topk(spark, d):
     t = B.search_tables(spark, d)
-    return _scored(lexical.bm25_topk(t.index, B.queries(spark, d)))
+    return _scored(t.bm25(B.queries(spark, d)))
 
 
 def vector_topk(spark, d):
@@ -62,14 +62,14 @@ def vector_topk(spark, d):
 
 def score_normalize(spark, d):
     t, q = B.search_tables(spark, d), B.queries(spark, d)
-    both = lexical.normalize(lexical.bm25_topk(t.index, q)).withColumn("stage", F.lit("bm25")).unionByName(
+    both = lexical.normalize(t.bm25(q)).withColumn("stage", F.lit("bm25")).unionByName(
         lexical.normalize(vectors.vector_topk(t.vectors, q)).withColumn("stage", F.lit("vector")))
     return both.select("stage", "query_id", "chunk_id", F.round("norm", 6).alias("norm"))
 
 
 def _fused(spark, d, t=None):
     t, q = t or B.search_tables(spark, d), B.queries(spark, d)
-    return hybrid.fuse(vectors.vector_topk(t.vectors, q), lexical.bm25_topk(t.index, q))
+    return hybrid.fuse(vectors.vector_topk(t.vectors, q), t.bm25(q))
 
 
 def hybrid_fusion(spark, d):

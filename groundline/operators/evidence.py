@@ -44,6 +44,7 @@ def to_evidence(hits: DataFrame, retrieval_round: int = 1) -> DataFrame:
         F.lit(retrieval_round).cast("long").alias("retrieval_round"), F.col("chunk_id").cast("string").alias("chunk_id"),
         opt("title").alias("meta_title"), opt("file_path").alias("file_path"),
         opt("repository_url").alias("repository_url"), opt("symbol").alias("symbol"),
+        opt("retrieved_by", "array<string>").alias("retrieved_by"),
     )
 
 

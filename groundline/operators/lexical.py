@@ -56,15 +56,16 @@ def query_terms(queries: DataFrame) -> DataFrame:
     )
 
 
-def query_weights(index: DataFrame, wanted: DataFrame, n_wanted: int, n_chunks: int) -> DataFrame:
+def query_weights(index: DataFrame, wanted: DataFrame, n_wanted: int, n_chunks: int, frequencies: DataFrame | None = None) -> DataFrame:
     """(query_id, term, weight) with idf and query boost; terms no chunk has drop out.
 
-    A small vocabulary filters the corpus terms before they are counted; a large
-    one joins after the map-side-combined count.
+    Stored ``frequencies`` (term, df) are joined; without them a small vocabulary
+    filters the corpus terms before they are counted and a large one joins after
+    the map-side-combined count.
     """
     vocabulary = broadcast_if_small(wanted.select("term").distinct(), n_wanted, 64)
     small = n_wanted * 64 <= BROADCAST_LIMIT
-    df = document_frequency(index, vocabulary if small else None)
+    df = document_frequency(index, vocabulary if small else None) if frequencies is None else frequencies
     idf = F.log(1.0 + (F.lit(float(n_chunks)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * (1.0 + F.log(F.col("qf").cast("double")))
     return wanted.join(df, "term").select("query_id", "term", weight.alias("weight"))
@@ -122,30 +123,33 @@ def _score_batches(batches: Iterator[pa.RecordBatch], weights: _Weights, k: int,
     yield best.batch(weights.query_ids)
 
 
-def bm25_topk(index: DataFrame, queries: DataFrame, k: int = C.CANDIDATE_K) -> DataFrame:
+def bm25_topk(index: DataFrame, queries: DataFrame, k: int = C.CANDIDATE_K, *, frequencies: DataFrame | None = None,
+              stats: DataFrame | None = None) -> DataFrame:
     """Exact BM25 top ``k`` per query: (query_id, chunk_id, score, rank); ties keep chunk order.
 
     A chunk's tokens sit in its row, so each task scores its own chunks against
     all queries and emits only its local top k. No (query, chunk) pair and no
     posting list is shuffled, however frequent a term is; the one exchange carries
     at most tasks × queries × k rows. The query side is broadcast in passes of
-    bounded size.
+    bounded size. ``frequencies`` (term, df) and ``stats`` as stored with an index
+    spare a count over the corpus.
     """
     spark = index.sparkSession
-    stats = corpus_stats(index).first()
+    counts = (corpus_stats(index) if stats is None else stats).first()
     wanted = query_terms(queries).cache()
     n_wanted = wanted.count()
-    tables = passes(query_weights(index, wanted, n_wanted, stats["n_chunks"]), n_wanted, WEIGHT_BYTES)
-    wanted.unpersist()
+    tables = passes(query_weights(index, wanted, n_wanted, counts["n_chunks"], frequencies), n_wanted, WEIGHT_BYTES)
     id_type = queries.schema["query_id"].dataType.simpleString()
     schema = f"query_id {id_type}, chunk_id long, score double"
-    avg_len = float(stats["avg_len"])
+    avg_len = float(counts["avg_len"])
 
     def run(table: pa.Table) -> DataFrame:
         shared = spark.sparkContext.broadcast(_Weights(table))
         return index.mapInArrow(lambda it: _score_batches(it, shared.value, k, avg_len), schema)
 
-    return query_passes(spark, tables, run, schema, k)
+    found = query_passes(spark, tables, run, schema, k)
+    wanted.unpersist()
+    return found
 
 
 def postings_scores(index: DataFrame, queries: DataFrame) -> DataFrame:

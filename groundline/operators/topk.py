@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from groundline.session import BROADCAST_LIMIT, ship_package
+from groundline.session import BROADCAST_LIMIT, materialize, ship_package
 
 
 class LocalTopK:
@@ -55,22 +55,47 @@ class LocalTopK:
         )
 
 
-def passes(rows: DataFrame, count: int, row_bytes: int) -> list[pa.Table]:
-    """The rows as Arrow tables of bounded size, all rows of a query in one table."""
+#: Groups of tasks whose local lists are merged before the final cut.
+MERGE_GROUPS = 64
+
+
+def passes(rows: DataFrame, count: int, row_bytes: int) -> Iterator[pa.Table]:
+    """The rows as Arrow tables of bounded size, one at a time, all rows of a query in one table."""
     ship_package(rows.sparkSession)
     n = max(1, -(-count * row_bytes // BROADCAST_LIMIT))
     if n == 1:
-        return [rows.toArrow()]
+        yield rows.toArrow()
+        return
+    stored = materialize(rows, "passes")
     number = F.pmod(F.xxhash64("query_id"), F.lit(n))
-    return [rows.filter(number == i).toArrow() for i in range(n)]
+    for i in range(n):
+        yield stored.filter(number == i).toArrow()
 
 
-def query_passes(spark: SparkSession, tables: list[pa.Table], run: Callable[[pa.Table], DataFrame],
+def query_passes(spark: SparkSession, tables: Iterable[pa.Table], run: Callable[[pa.Table], DataFrame],
                  schema: str, k: int) -> DataFrame:
-    """Union of the per-pass local results, ranked and cut to ``k`` per query."""
-    parts = [run(t) for t in tables if t.num_rows]
+    """Local results of all passes, ranked and cut to ``k`` per query.
+
+    The lists of a query are cut within groups of scan tasks first, so the task
+    that makes its final list reads at most MERGE_GROUPS × k rows. With several
+    passes each is written before the next one's questions are fetched.
+    """
+    parts: list[DataFrame] = []
+    held: pa.Table | None = None
+    for table in tables:
+        if not table.num_rows:
+            continue
+        if held is not None:
+            parts.append(materialize(run(held), "pass"))
+        held = table
+    if held is not None:
+        parts.append(materialize(run(held), "pass") if parts else run(held))
     found = parts[0] if parts else spark.createDataFrame([], schema)
     for p in parts[1:]:
         found = found.unionByName(p)
-    w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "chunk_id")
-    return found.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+    order = [F.round("score", 9).desc(), "chunk_id"]
+    group = F.spark_partition_id() % MERGE_GROUPS
+    near = found.withColumn("_group", group).withColumn(
+        "rank", F.row_number().over(Window.partitionBy("query_id", "_group").orderBy(*order))).filter(F.col("rank") <= k)
+    w = Window.partitionBy("query_id").orderBy(*order)
+    return near.drop("_group").withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)

@@ -9,20 +9,21 @@ from pyspark.sql import DataFrame, functions as F
 from groundline import config as C
 from groundline.operators import grounding as G
 from groundline.operators.results import assemble
-from groundline.plans.research import research
+from groundline.plans.research import Embedder, research
 from groundline.plans.retrieval import SearchTables
 from groundline.session import materialize
 
 
 def answer_runs(tables: SearchTables, tasks: DataFrame, drafts: Callable[[DataFrame], DataFrame],
-                verdicts: Callable[[DataFrame], DataFrame], *, max_items: int = C.MAX_EVIDENCE) -> DataFrame:
+                verdicts: Callable[[DataFrame], DataFrame], *, max_items: int = C.MAX_EVIDENCE,
+                embed: Embedder | None = None) -> DataFrame:
     """Retrieve, draft, check, verify and gate for a table of tasks.
 
     ``drafts(pool)`` supplies (task_id, attempt, answer, claims) rows and
     ``verdicts(cases)`` adds the model's verification columns; both stand for
-    offline inference over the pool.
+    offline inference over the pool. ``embed`` gives the queries their vectors.
     """
-    pool = materialize(research(tables, tasks, max_items=max_items), "pool")
+    pool = materialize(research(tables, tasks, max_items=max_items, embed=embed), "pool")
     outcomes = G.draft_outcomes(G.cases(tasks, pool, drafts(pool), how="left"))
     checked = verdicts(G.cases(tasks, pool, outcomes.select("task_id", "answer", "claims", "outcome")))
     final = assemble(checked.drop("sufficient"), G.verify(checked))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from groundline import config as C
@@ -11,9 +13,13 @@ from groundline.plans.retrieval import SearchTables, retrieve
 from groundline.session import materialize
 
 
-def retrieve_for_tasks(tables: SearchTables, asked: DataFrame, top_k: int = C.RESEARCH_TOP_K) -> DataFrame:
-    """Hits for (task_id, query_no, query[, embedding]) rows."""
-    keyed = asked.withColumn("query_id", F.concat_ws("#", "task_id", F.col("query_no").cast("string")))
+#: Adds ``embedding`` to query rows: a join with stored vectors, or ``functions.models.embed`` on the query.
+Embedder = Callable[[DataFrame], DataFrame]
+
+
+def retrieve_for_tasks(tables: SearchTables, asked: DataFrame, top_k: int = C.RESEARCH_TOP_K, embed: Embedder | None = None) -> DataFrame:
+    """Hits for (task_id, query_no, query[, embedding]) rows; a query without a vector is answered by BM25 alone."""
+    keyed = (asked if embed is None else embed(asked)).withColumn("query_id", F.concat_ws("#", "task_id", F.col("query_no").cast("string")))
     if "embedding" not in keyed.columns:
         keyed = keyed.withColumn("embedding", F.lit(None).cast("array<float>"))
     keyed = materialize(keyed, "task-queries")
@@ -26,18 +32,19 @@ def narrow(pool: DataFrame, tasks: DataFrame, max_items: int) -> DataFrame:
 
 
 def research(tables: SearchTables, tasks: DataFrame, asked: DataFrame | None = None, *, retrieval_round: int = 1,
-             top_k: int = C.RESEARCH_TOP_K, max_items: int = C.MAX_EVIDENCE, merge_limit: int | None = None) -> DataFrame:
+             top_k: int = C.RESEARCH_TOP_K, max_items: int = C.MAX_EVIDENCE, merge_limit: int | None = None,
+             embed: Embedder | None = None) -> DataFrame:
     """Evidence pool per task: retrieve, merge, prefer, select; only the selection cuts, unless ``merge_limit`` is given."""
-    hits = retrieve_for_tasks(tables, task_queries(tasks) if asked is None else asked, top_k)
+    hits = retrieve_for_tasks(tables, task_queries(tasks) if asked is None else asked, top_k, embed)
     merged = E.round_robin(E.to_evidence(hits, retrieval_round), merge_limit)
     return E.select_evidence(narrow(merged, tasks, max_items), tasks, max_items)
 
 
 def repair(tables: SearchTables, tasks: DataFrame, pool: DataFrame, verifications: DataFrame, *,
-           top_k: int = C.RESEARCH_TOP_K, max_items: int = C.MAX_EVIDENCE) -> DataFrame:
+           top_k: int = C.RESEARCH_TOP_K, max_items: int = C.MAX_EVIDENCE, embed: Embedder | None = None) -> DataFrame:
     """Pools after a second round on the suggested queries; tasks without any keep theirs."""
     asked = task_queries(verifications, F.col("suggested_queries"))
-    second = research(tables, tasks, asked, retrieval_round=2, top_k=top_k, max_items=max_items)
+    second = materialize(research(tables, tasks, asked, retrieval_round=2, top_k=top_k, max_items=max_items, embed=embed), "second-pool")
     return merge_repair(pool, second, asked, tasks, max_items)
 
 

@@ -9,24 +9,31 @@ from pyspark.sql import DataFrame, functions as F
 from groundline import config as C
 from groundline.functions import text as T
 from groundline.operators.hybrid import expand, fuse, rerank, rerank_features
-from groundline.operators.lexical import bm25_topk, with_terms
+from groundline.operators.lexical import bm25_topk, corpus_stats, document_frequency, with_terms
 from groundline.operators.vectors import vector_topk
 from groundline.session import broadcast_if_small, materialize
 
 
 @dataclass(frozen=True)
 class SearchTables:
-    """What a search reads: chunks, their term lists, their vectors."""
+    """What a search reads: chunks, their term lists and vectors, document frequencies, corpus statistics."""
 
     chunks: DataFrame
     index: DataFrame
     vectors: DataFrame
+    frequencies: DataFrame
+    stats: DataFrame
 
     @classmethod
     def build(cls, chunks: DataFrame, vectors: DataFrame) -> "SearchTables":
-        """Write chunks, their token lists and vectors once; every later step reads its columns from files."""
+        """Write every table once; later steps read their columns from files, and no search counts the corpus again."""
         stored = materialize(with_terms(chunks), "chunks")
-        return cls(stored.drop("dl", "terms"), stored.select("chunk_id", "dl", "terms"), materialize(vectors, "vectors"))
+        index = stored.select("chunk_id", "dl", "terms")
+        return cls(stored.drop("dl", "terms"), index, materialize(vectors, "vectors"),
+                   materialize(document_frequency(index), "frequencies"), materialize(corpus_stats(index), "statistics"))
+
+    def bm25(self, queries: DataFrame, k: int = C.CANDIDATE_K) -> DataFrame:
+        return bm25_topk(self.index, queries, k, frequencies=self.frequencies, stats=self.stats)
 
 
 def with_search_text(chunks: DataFrame) -> DataFrame:
@@ -50,7 +57,7 @@ def ranked_hits(tables: SearchTables, queries: DataFrame, top_k: int = C.TOP_K,
     check_corpus(corpus)
     k = max(top_k, C.CANDIDATE_K)
     n = queries.count()
-    fused = fuse(vector_topk(tables.vectors, queries, k), bm25_topk(tables.index, queries, k), k)
+    fused = fuse(vector_topk(tables.vectors, queries, k), tables.bm25(queries, k), k)
     if not reranking:
         return fused.filter(F.col("rank") <= top_k).withColumn("fusion_score", F.col("score"))
     return rerank(rerank_features(fused, queries, tables.chunks, n * k), top_k)
