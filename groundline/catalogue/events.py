@@ -37,7 +37,11 @@ def run_events(spark, d):
 def artifacts(spark, d):
     """Artifacts of the publishing events; those of tiny value were never stored."""
     return run_events(spark, d).filter("type = 'ARTIFACT_PUBLISHED' AND value >= 1.0").select(
-        "run_id", "artifact_id", "kind", "task_id", F.col("actor").alias("owner"), F.struct("ts", "event_id").alias("seq"))
+        "run_id", "artifact_id", "kind", "task_id", F.col("actor").alias("owner"), F.struct("ts", "event_id").alias("seq"),
+        (F.col("k") % 9 > 0).alias("has_value"), (F.col("k") % 7).alias("evidence_count"),
+        F.array(F.concat(F.lit("src-"), F.col("k") % 5), F.concat(F.lit("src-"), F.col("k") % 3)).alias("source_ids"),
+        (F.col("k") % 4).alias("claim_count"), (F.col("k") % 2 == 0).alias("sufficient"),
+        F.when(F.col("k") % 2 == 0, T.strings([])).otherwise(F.array(F.concat(F.lit("gap "), F.col("k")))).alias("missing_points"))
 
 
 def feed(spark, d):
@@ -72,7 +76,8 @@ def calls(spark, d):
 
 def event_mapping(spark, d):
     return E.public_events(run_events(spark, d), artifacts(spark, d)).select(
-        "run_id", "event_id", F.col("sub").cast("long").alias("sub"), "event", "task_id", "agent", "status", "artifact_id", "artifact_kind")
+        "run_id", "event_id", F.col("sub").cast("long").alias("sub"), "event", "task_id", "agent", "status", "artifact_id", "artifact_kind",
+        "evidence_count", F.array_join("source_ids", ",").alias("source_ids"), "claim_count", "sufficient", F.array_join("missing_points", ",").alias("missing_points"))
 
 
 def event_sequence(spark, d):
@@ -120,7 +125,8 @@ def task_trace_failures(spark, d):
     f = feed(spark, d)
     null = F.lit(None).cast("string")
     failed = run_events(spark, d).filter("type = 'REVISION_REQUESTED'").select(
-        "run_id", "ts", "event_id", F.lit(5).alias("sub"), F.lit("run.failed").alias("event"), *[null.alias(c) for c in ("task_id", "agent", "status", "artifact_id", "artifact_kind")])
+        "run_id", "ts", "event_id", F.lit(5).alias("sub"), F.lit("run.failed").alias("event"), *[null.alias(c) for c in ("task_id", "agent", "status", "artifact_id", "artifact_kind")],
+        *[F.lit(None).cast(t).alias(c) for c, t in E.PAYLOAD.items()])
     again = E.with_sequence(f.drop("sequence").unionByName(failed))
     return E.task_traces(again).select("run_id", "task_id", "agent", "status", F.date_format("completed_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("completed_at"))
 
@@ -200,19 +206,22 @@ def _case(x: str, values: dict) -> str:
 
 
 _IDS, _AGENTS = B.d_list([t for t, _, _ in C.TASK_CHAIN]), B.d_list([a for _, a, _ in C.TASK_CHAIN])
+_NO_PAYLOAD = "NULL::BIGINT AS evidence_count, NULL::VARCHAR[] AS source_ids, NULL::BIGINT AS claim_count, NULL::BOOLEAN AS sufficient, NULL::VARCHAR[] AS missing_points"
 V |= {
     "rev": f"""SELECT user_id AS run_id, ts, event_id, {_case('event_type', TYPES)} AS type, {_IDS}[event_id % 6 + 1] AS task_id, {_AGENTS}[event_id % 6 + 1] AS actor,
         'a' || event_id AS artifact_id, {B.d_list(KINDS)}[k % 4 + 1] AS kind, event_type, value, k FROM (SELECT *, (props->>'$.k')::BIGINT AS k FROM events)""",
     "arts": "SELECT * FROM rev WHERE type = 'ARTIFACT_PUBLISHED' AND value >= 1.0",
     "pub": f"""SELECT run_id, ts, event_id, 1 AS sub, CASE WHEN type = 'TASK_CLAIMED' THEN 'task.started' ELSE 'task.completed' END AS event, task_id, actor AS agent,
-        CASE WHEN type = 'TASK_CLAIMED' THEN 'started' ELSE 'completed' END AS status, NULL AS artifact_id, NULL AS artifact_kind FROM rev WHERE type IN ('TASK_CLAIMED', 'TASK_CLOSED')
-      UNION ALL SELECT run_id, ts, event_id, 1, 'artifact.created', task_id, actor, NULL, artifact_id, kind FROM arts
-      UNION ALL SELECT run_id, ts, event_id, 2, {_case('kind', C.COMPLETION_EVENTS)}, task_id, NULL, NULL, artifact_id, NULL FROM arts WHERE kind <> 'critique'""",
+        CASE WHEN type = 'TASK_CLAIMED' THEN 'started' ELSE 'completed' END AS status, NULL AS artifact_id, NULL AS artifact_kind, {_NO_PAYLOAD} FROM rev WHERE type IN ('TASK_CLAIMED', 'TASK_CLOSED')
+      UNION ALL SELECT run_id, ts, event_id, 1, 'artifact.created', task_id, actor, NULL, artifact_id, kind, {_NO_PAYLOAD} FROM arts
+      UNION ALL SELECT run_id, ts, event_id, 2, {_case('kind', C.COMPLETION_EVENTS)}, task_id, NULL, NULL, artifact_id, NULL, CASE kind WHEN 'evidence_pool' THEN k % 7 END, CASE kind WHEN 'evidence_pool' THEN ['src-' || k % 5, 'src-' || k % 3] END,
+        CASE kind WHEN 'research_draft' THEN k % 4 END, CASE kind WHEN 'evidence_verification' THEN k % 2 = 0 END,
+        CASE kind WHEN 'evidence_verification' THEN CASE WHEN k % 2 = 0 THEN []::VARCHAR[] ELSE ['gap ' || k] END END FROM arts WHERE kind <> 'critique' AND k % 9 > 0""",
     "lastev": "SELECT run_id, ts, event_id, type, type = 'REVISION_REQUESTED' AS failed FROM rev QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY ts DESC, event_id DESC) = 1",
-    "pubt": """SELECT * FROM pub UNION ALL SELECT run_id, ts, event_id, 9, CASE WHEN failed THEN 'run.failed' ELSE 'run.completed' END, NULL, NULL, NULL, NULL, NULL FROM lastev""",
+    "pubt": f"""SELECT * FROM pub UNION ALL SELECT run_id, ts, event_id, 9, CASE WHEN failed THEN 'run.failed' ELSE 'run.completed' END, NULL, NULL, NULL, NULL, NULL, {_NO_PAYLOAD} FROM lastev""",
     "feed": "SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts, event_id, sub) AS sequence FROM pubt",
-    "feedf": """SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts, event_id, sub) AS sequence FROM (SELECT * FROM pubt UNION ALL
-        SELECT run_id, ts, event_id, 5, 'run.failed', NULL, NULL, NULL, NULL, NULL FROM rev WHERE type = 'REVISION_REQUESTED')""",
+    "feedf": f"""SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts, event_id, sub) AS sequence FROM (SELECT * FROM pubt UNION ALL
+        SELECT run_id, ts, event_id, 5, 'run.failed', NULL, NULL, NULL, NULL, NULL, {_NO_PAYLOAD} FROM rev WHERE type = 'REVISION_REQUESTED')""",
     "rtasks": f"""SELECT r.run_id, t.i, t.task_id, CASE WHEN c.run_id IS NOT NULL THEN 'CLOSED' WHEN t.i = 1 THEN 'OPEN' ELSE 'BLOCKED' END AS status
       FROM (SELECT DISTINCT run_id FROM rev) r, (SELECT unnest({_IDS}) AS task_id, unnest(range(1, 7)) AS i) t
       LEFT JOIN (SELECT DISTINCT run_id, task_id FROM rev WHERE type = 'TASK_CLOSED') c ON c.run_id = r.run_id AND c.task_id = t.task_id""",
@@ -239,9 +248,11 @@ def _fold(view: str) -> str:
 
 _TS = "strftime({c}, '%Y-%m-%d %H:%M:%S.%f')"
 _JSON = """'{"event":"' || event || '","run_id":"' || run_id || '","timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '","sequence":' || sequence || ',"data":{' || concat_ws(',', '"task_id":"' || task_id || '"',
-      '"agent":"' || agent || '"', '"status":"' || status || '"', '"artifact_id":"' || artifact_id || '"', '"artifact_kind":"' || artifact_kind || '"') || '}}'"""
+      '"agent":"' || agent || '"', '"status":"' || status || '"', '"artifact_id":"' || artifact_id || '"', '"artifact_kind":"' || artifact_kind || '"',
+      '"evidence_count":' || evidence_count, '"source_ids":' || to_json(source_ids), '"claim_count":' || claim_count, '"sufficient":' || sufficient, '"missing_points":' || to_json(missing_points)) || '}}'"""
 ORACLE = {
-    "event_mapping": B.oracle("SELECT run_id, event_id, sub::BIGINT AS sub, event, task_id, agent, status, artifact_id, artifact_kind FROM pub", "pub"),
+    "event_mapping": B.oracle("""SELECT run_id, event_id, sub::BIGINT AS sub, event, task_id, agent, status, artifact_id, artifact_kind,
+        evidence_count, array_to_string(source_ids, ',') AS source_ids, claim_count, sufficient, array_to_string(missing_points, ',') AS missing_points FROM pub""", "pub"),
     "event_sequence": B.oracle(f"SELECT run_id, event_id, event, sequence, sha256('event: ' || event || chr(10) || 'data: ' || {_JSON} || chr(10) || chr(10)) AS sha FROM feed", "feed"),
     "board_log": B.oracle("""SELECT run_id, event_id AS seq, CASE WHEN type = 'ARTIFACT_PUBLISHED' AND kind = 'critique' THEN 'CRITIQUE_PUBLISHED' ELSE type END AS type, actor, task_id,
         CASE WHEN event_type = 'view' THEN artifact_id ELSE '' END AS artifact_id, CASE WHEN event_type = 'view' THEN kind ELSE event_type END AS message FROM rev WHERE event_type <> 'error'""", "rev"),

@@ -6,14 +6,24 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from groundline import config as C
 from groundline.functions import text as T
-from groundline.operators.ordering import join_per_key, position
+from groundline.operators.ordering import position
 
 TERMINAL = ["run.completed", "run.failed"]
 
 
-def clock_hour(ts: Column) -> Column:
-    """Hours since 1970 of a timestamp without zone: the bucket runs are numbered in."""
-    return F.datediff(ts.cast("date"), F.lit("1970-01-01").cast("date")).cast("long") * 24 + F.hour(ts)
+#: What completed steps report; artifact tables carry these columns where known.
+PAYLOAD = {"evidence_count": "bigint", "source_ids": "array<string>", "claim_count": "bigint", "sufficient": "boolean",
+           "missing_points": "array<string>"}
+STEP_FIELDS = {"evidence_pool": ("evidence_count", "source_ids"), "research_draft": ("claim_count",),
+               "evidence_verification": ("sufficient", "missing_points")}
+
+#: Rows of the feed searched together for the next failure.
+FAILURE_SPAN = 4096
+
+
+def clock_minute(ts: Column) -> Column:
+    """Minutes since 1970 of a timestamp without zone: the bucket runs are numbered in."""
+    return F.datediff(ts.cast("date"), F.lit("1970-01-01").cast("date")).cast("long") * 1440 + F.hour(ts) * 60 + F.minute(ts)
 
 
 # ---- event log --------------------------------------------------------------------------------
@@ -40,16 +50,21 @@ def board_events(actions: DataFrame) -> DataFrame:
 
 
 def public_events(events: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """Internal events to (run_id, ts, event_id, sub, event, task_id, agent, status, artifact_id, artifact_kind).
+    """Internal events to (run_id, ts, event_id, sub, event, task_id, agent, status, artifact_id, artifact_kind, payload columns).
 
-    A published artifact is announced, and again as a completed step when its kind
-    is one; publications of unknown artifacts are dropped. Claims and closings are
-    single events. Map-side, but for the join on the artifact id.
+    A published artifact is announced, and again as a completed step with its
+    payload when its kind is one and it has a value (``has_value`` false: none);
+    publications of unknown artifacts are dropped. Claims and closings are single
+    events. Map-side, but for the join on the artifact id.
     """
-    def row(sub, event, task, agent, status, artifact=None, kind=None):
+    known = {c: F.col(c) if c in artifacts.columns else F.lit(None) for c in PAYLOAD}
+    valued = F.coalesce("has_value", F.lit(False)) if "has_value" in artifacts.columns else F.lit(True)
+    def row(sub, event, task, agent, status, artifact=None, kind=None, payload=False):
         null = F.lit(None).cast("string")
+        told = [(F.when(F.col("kind").isin([k for k, names in STEP_FIELDS.items() if c in names]), F.col(c)) if payload
+                 else F.lit(None)).cast(t).alias(c) for c, t in PAYLOAD.items()]
         return F.struct(F.lit(sub).alias("sub"), event.alias("event"), task.alias("task_id"), agent.alias("agent"), status.alias("status"),
-                        (null if artifact is None else artifact).alias("artifact_id"), (null if kind is None else kind).alias("artifact_kind"))
+                        (null if artifact is None else artifact).alias("artifact_id"), (null if kind is None else kind).alias("artifact_kind"), *told)
 
     task, actor, null = F.col("task_id"), F.col("actor"), F.lit(None).cast("string")
     keep = ["run_id", "ts", "event_id"]
@@ -58,11 +73,12 @@ def public_events(events: DataFrame, artifacts: DataFrame) -> DataFrame:
         .otherwise(row(1, F.lit("task.completed"), task, actor, F.lit("completed"))).alias("r"))
     steps = F.create_map(*[F.lit(x) for kv in C.COMPLETION_EVENTS.items() for x in kv])
     published = events.filter("type = 'ARTIFACT_PUBLISHED'").select(*keep, "artifact_id").join(
-        artifacts.select("artifact_id", "kind", F.col("task_id").alias("a_task"), "owner"), "artifact_id")
+        artifacts.select("artifact_id", "kind", F.col("task_id").alias("a_task"), "owner", valued.alias("valued"),
+                         *[c.cast(PAYLOAD[n]).alias(n) for n, c in known.items()]), "artifact_id")
     step = F.try_element_at(steps, F.col("kind"))
     made = published.select(*keep, F.explode(F.array_compact(F.array(
         row(1, F.lit("artifact.created"), F.col("a_task"), F.col("owner"), null, F.col("artifact_id"), F.col("kind")),
-        F.when(step.isNotNull(), row(2, step, F.col("a_task"), null, null, F.col("artifact_id"))),
+        F.when(step.isNotNull() & F.col("valued"), row(2, step, F.col("a_task"), null, null, F.col("artifact_id"), payload=True)),
     ))).alias("r"))
     return simple.unionByName(made).select(*keep, "r.*")
 
@@ -73,7 +89,8 @@ def with_terminal(public: DataFrame, outcomes: DataFrame) -> DataFrame:
     last = outcomes.select(
         "run_id", "ts", "event_id", F.lit(9).alias("sub"),
         F.when(F.col("failed"), F.lit("run.failed")).otherwise(F.lit("run.completed")).alias("event"),
-        *[null.alias(c) for c in ("task_id", "agent", "status", "artifact_id", "artifact_kind")])
+        *[null.alias(c) for c in ("task_id", "agent", "status", "artifact_id", "artifact_kind")],
+        *[F.lit(None).cast(t).alias(c) for c, t in PAYLOAD.items()])
     return public.unionByName(last)
 
 
@@ -84,13 +101,13 @@ def run_outcomes(events: DataFrame) -> DataFrame:
 
 
 def with_sequence(public: DataFrame) -> DataFrame:
-    """Gap-free numbers 1.. per run, counted hour by hour so a busy run spreads over tasks."""
-    return position(public, ["run_id"], clock_hour(F.col("ts")), ["ts", "event_id", "sub"], "sequence", 1)
+    """Gap-free numbers 1.. per run, counted minute by minute so a busy run spreads over tasks."""
+    return position(public, ["run_id"], clock_minute(F.col("ts")), ["ts", "event_id", "sub"], "sequence", 1)
 
 
 def envelope(e: DataFrame) -> DataFrame:
     """Add the JSON envelope of the feed and its text form."""
-    data = F.struct("task_id", "agent", "status", "artifact_id", "artifact_kind")
+    data = F.struct("task_id", "agent", "status", "artifact_id", "artifact_kind", *PAYLOAD)
     body = F.to_json(F.struct("event", F.col("run_id").cast("string").alias("run_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
                               "sequence", data.alias("data")))
     return e.withColumn("envelope", body).withColumn(
@@ -122,12 +139,8 @@ def task_traces(feed: DataFrame) -> DataFrame:
         F.count_if(made).alias("n_artifacts"))
     created = F.col("first.event") == "artifact.created"
     opened = per.withColumn("open_seq", F.coalesce("start.sequence", F.when(created, F.col("first.sequence")), F.lit(0)))
-    failures = feed.filter("event = 'run.failed'").select("run_id", F.col("sequence").alias("f_seq"), F.col("ts").alias("f_ts"))
-    starts = opened.select("run_id", "task_id", "open_seq")
-    failed = join_per_key(failures, starts, ["run_id"], "inner", "f_seq").filter("f_seq > open_seq").groupBy("run_id", "task_id").agg(
-        F.min(F.struct("f_seq", "f_ts")).alias("fail"))
-    rows = opened.join(failed, ["run_id", "task_id"], "left")
     finished = F.coalesce(F.col("done.sequence") > F.col("open_seq"), F.lit(False))
+    rows = opened.join(next_failures(opened.filter(~finished), feed), ["run_id", "task_id"], "left")
     broken = ~finished & F.col("fail").isNotNull()
     return rows.select(
         "run_id", "task_id", F.coalesce("start.agent", "first.agent").alias("agent"),
@@ -136,10 +149,33 @@ def task_traces(feed: DataFrame) -> DataFrame:
         F.when(finished, F.col("done.ts")).when(broken, F.col("fail.f_ts")).alias("completed_at"), "n_artifacts")
 
 
+def next_failures(opened: DataFrame, feed: DataFrame) -> DataFrame:
+    """(run_id, task_id, fail): the first failure of the run after each task's ``open_seq``, where there is one.
+
+    Looked up within spans of the feed, then in the first later span that holds
+    one, so no failure meets every task and a busy run spreads over its spans.
+    """
+    span = lambda c: F.floor(F.col(c) / FAILURE_SPAN).alias("_span")
+    failure = F.struct(F.col("sequence").alias("f_seq"), F.col("ts").alias("f_ts"))
+    failed = feed.filter("event = 'run.failed'").select(
+        "run_id", span("sequence"), F.col("sequence").alias("_seq"), F.lit(None).cast("string").alias("task_id"), failure.alias("_f"))
+    marks = opened.select("run_id", span("open_seq"), F.col("open_seq").alias("_seq"), "task_id",
+                          F.lit(None).cast(failed.schema["_f"].dataType).alias("_f")).unionByName(failed)
+
+    def later(*keys: str, order: str):
+        return Window.partitionBy(*keys).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, -1)
+
+    spans = marks.groupBy("run_id", "_span").agg(F.min("_f").alias("_f")).withColumn(
+        "_next", F.last("_f", ignorenulls=True).over(later("run_id", order="_span"))).drop("_f")
+    near = marks.withColumn("_near", F.last("_f", ignorenulls=True).over(later("run_id", "_span", order="_seq")))
+    return near.filter("task_id IS NOT NULL").join(spans, ["run_id", "_span"]).select(
+        "run_id", "task_id", F.coalesce("_near", "_next").alias("fail")).filter("fail IS NOT NULL")
+
+
 def trace_artifacts(feed: DataFrame) -> DataFrame:
     """Artifacts of each task in feed order, one row each."""
     made = feed.filter("event = 'artifact.created' AND task_id IS NOT NULL")
-    return position(made, ["run_id", "task_id"], clock_hour(F.col("ts")), ["sequence"], "artifact_no", 1).select(
+    return position(made, ["run_id", "task_id"], clock_minute(F.col("ts")), ["sequence"], "artifact_no", 1).select(
         "run_id", "task_id", "artifact_no", "artifact_id", "artifact_kind")
 
 

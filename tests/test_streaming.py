@@ -36,6 +36,12 @@ def test_sequence_numbers(spark, data, tmp_path):
     got = finish(S.number_stream(stream(spark, public, str(tmp_path))), str(tmp_path), "numbers", "append")
     per = got.groupBy("run_id").agg(F.count("*").alias("n"), F.count_distinct("sequence").alias("d"), F.max("sequence").alias("m"))
     assert got.count() == public.count() and per.filter("n <> d OR n <> m").count() == 0
+    # the numbered stream makes the same envelopes as a batch of it
+    rows = E.envelope(got)
+    assert rows.filter("event = 'retrieval.completed' AND get_json_object(envelope, '$.data.evidence_count') IS NULL").count() == 0
+    told = E.envelope(public.join(got.select("run_id", "event_id", "sub", "sequence"), ["run_id", "event_id", "sub"]))
+    both = [{tuple(r) for r in df.select("run_id", "sequence", "sse").collect()} for df in (rows, told)]
+    assert both[0] == both[1]
     public.unpersist()
 
 
