@@ -20,7 +20,8 @@ def first_object(raw: Column) -> Column:
     Every brace may begin it; what follows a complete object does not matter.
     """
     parts = F.split(_body(raw), r"\{")
-    texts = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(
-        F.lit("{"), F.array_join(F.slice(parts, i + 1, F.size(parts)), "{")))
-    found = F.filter(F.transform(texts, lambda t: F.to_json(F.try_parse_json(t))), lambda o: o.isNotNull())
-    return F.when(F.size(parts) > 1, F.get(found, F.lit(0)))
+    text = lambda i: F.concat(F.lit("{"), F.array_join(F.slice(parts, i + 1, F.size(parts)), "{"))
+    # one candidate text at a time, none after the first object
+    found = F.aggregate(F.sequence(F.lit(1), F.size(parts) - 1), F.lit(None).cast("string"),
+                        lambda done, i: F.coalesce(done, F.to_json(F.try_parse_json(text(i)))))
+    return F.when(F.size(parts) > 1, found)
