@@ -2,19 +2,20 @@
 
 A document's strength is linear in its features. Preference pairs (a good and a
 bad labelled document) give a logistic loss on feature differences; scores are
-cut at the quantile of training scores that the share of bad labels names.
+cut at the quantile of training scores that the share of bad labels names. The
+fit may use a sample, the quantile is that of all training rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from groundline.llm.base import flat, ship_package, slices, word_hashes, words
+from groundline.llm.base import Scratch, flat, ship_package, slices, word_hashes, words
 
 #: Labelled rows of each class that the fit may use at most; the fit's memory is bounded by it.
 SAMPLE_PER_CLASS = 4000
@@ -113,11 +114,14 @@ class Ranker:
     def strength(self, x: np.ndarray) -> np.ndarray:
         return sum((self.weights[j, np.searchsorted(self.edges[j], x[:, j], side="right")] for j in range(len(self.edges))), np.zeros(len(x)))
 
-    def score(self, x: np.ndarray) -> np.ndarray:
+    def scaled(self, strength: np.ndarray) -> np.ndarray:
         """0 to 1; THRESHOLD at the cut."""
-        raw = self.strength(x) - self.cut + np.log(THRESHOLD / (1 - THRESHOLD))
+        raw = strength - self.cut + np.log(THRESHOLD / (1 - THRESHOLD))
         return 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
 
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return self.scaled(self.strength(x))
+
 
 def fit_ranker(x: np.ndarray, good: np.ndarray, bins: int = BINS, rounds: int = 300, decay: float = 1e-4, seed: int = 7) -> Ranker:
     """Weights that minimise the mean of log(1 + exp(-(s_good - s_bad))) over drawn pairs.
@@ -175,17 +179,23 @@ def _featured(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, good boolean, x array<double>")
 
 
+def _votes(labels: DataFrame, folds: int) -> DataFrame:
+    """(doc_id, good) of every labelled document that is not held out."""
+    return (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+            .where("doc_id is not null and quality is not null").where(~held_out("doc_id", folds))
+            .groupBy("doc_id").agg((F.min("quality") > 0).alias("good")))
+
+
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, folds: int = 5) -> Ranker:
     """Ranker from labelled documents that are not held out.
 
-    At most ``per_class`` labels of either class are used, those of the smallest
-    hash of their doc_id, so the labels sent to the scan and the rows that come
-    back are bounded. A document with several labels counts as bad if one says so;
-    labels that are null or name no document are not used.
+    The weights use at most ``per_class`` labels of either class, those of the
+    smallest hash of their doc_id, so the labels sent to the scan and the rows
+    that come back are bounded. A document with several labels counts as bad if
+    one says so; labels that are null or name no document are not used. The cut
+    is that of the sample; ``population_cut`` gives that of all training rows.
     """
-    voted = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-             .where("doc_id is not null and quality is not null").where(~held_out("doc_id", folds))
-             .groupBy("doc_id").agg((F.min("quality") > 0).alias("good")))
+    voted = _votes(labels, folds)
     chosen = None
     for value in (True, False):
         rows = voted.where(F.col("good") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
@@ -196,24 +206,58 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS,
     return fit_ranker(x, np.array(rows.column("good").to_pylist(), bool))
 
 
-def _score(docs: DataFrame, ranker: Ranker, keep: bool) -> DataFrame:
-    ship_package(docs.sparkSession)
+def order_keys(strength: np.ndarray) -> np.ndarray:
+    """Integers in the order of the strengths."""
+    bits = (strength + 0.0).view(np.int64)
+    return np.where(bits < 0, bits ^ np.int64(0x7FFF_FFFF_FFFF_FFFF), bits)
+
 
+def _strengths(docs: DataFrame, ranker: Ranker) -> DataFrame:
+    """(doc_id, held_out, strength, key) for every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                score = ranker.score(features(part.column("text")))
-                if keep:
-                    yield part.filter(pa.array(score >= THRESHOLD))
-                else:
-                    yield pa.RecordBatch.from_arrays(
-                        [flat(part.column("doc_id")), flat(part.column("held_out")), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))],
-                        names=["doc_id", "held_out", "score", "predicted"])
-
-    if keep:
-        return docs.mapInArrow(run, docs.schema)
+                strength = ranker.strength(features(part.column("text")))
+                yield pa.RecordBatch.from_arrays(
+                    [flat(part.column("doc_id")), flat(part.column("held_out")), pa.array(strength), pa.array(order_keys(strength))],
+                    names=["doc_id", "held_out", "strength", "key"])
+
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, held_out boolean, score double, predicted int")
+        run, "doc_id long, held_out boolean, strength double, key long")
+
+
+def _nth_key(keys: DataFrame, n: int) -> int:
+    """The key with ``n`` smaller or equal ones before it, 16 bits a step: at most 65,536 counts reach the driver."""
+    prefix = None
+    for shift in (48, 32, 16, 0):
+        rows = keys if prefix is None else keys.where(F.shiftright("key", shift + 16) == prefix)
+        for prefix, count in sorted(map(tuple, rows.groupBy(F.shiftright("key", shift).alias("prefix")).agg(F.count("*").alias("n")).collect())):
+            if n < count:
+                break
+            n -= count
+    return prefix
+
+
+def population_cut(strengths: DataFrame, labels: DataFrame, scratch: Scratch, folds: int = 5) -> float | None:
+    """``quantile_cut`` over every labelled row that is not held out; None if a class has no rows.
+
+    ``strengths``: stored (doc_id, key), one for each row of the documents.
+    """
+    # ids and labels grow with the documents: never a broadcast
+    trained = scratch.write(strengths.select("doc_id", "key").join(_votes(labels, folds).hint("merge"), "doc_id").select("key", "good"), "trained")
+    total, below = trained.agg(F.count("*"), F.count_if(~F.col("good"))).first()
+    if below in (0, total):
+        return None
+    low = _nth_key(trained, below - 1)
+    up_to, above = trained.agg(F.count_if(F.col("key") <= low), F.min(F.when(F.col("key") > low, F.col("key")))).first()
+    high = low if up_to > below or above is None else above
+    bits = np.array([low, high], np.int64)
+    return float(np.where(bits < 0, bits ^ np.int64(0x7FFF_FFFF_FFFF_FFFF), bits).view(np.float64).sum() / 2)
+
+
+def _at_population(ranker: Ranker, strengths: DataFrame, labels: DataFrame, scratch: Scratch) -> Ranker:
+    cut = population_cut(strengths, labels, scratch)
+    return ranker if cut is None or not ranker.weights.any() else replace(ranker, cut=cut)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
@@ -221,13 +265,38 @@ def score_documents(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_
 
     Null and empty texts have zero features and a score too; repeated rows give
     repeated results; other columns are ignored. The fit reads the sampled texts
-    by a broadcast of at most ``2 * per_class`` labels, the scoring has no shuffle.
+    by a broadcast of at most ``2 * per_class`` labels. Strengths are written
+    once; only the ids and strengths of labelled rows are shuffled, for the cut.
     """
-    ship_package(docs.sparkSession)
-    return _score(docs, train(docs, labels, per_class), False)
+    scratch = Scratch(docs.sparkSession, "quality")
+    ranker = train(docs, labels, per_class)
+    strengths = scratch.write(_strengths(docs, ranker), "strengths")
+    ranker = _at_population(ranker, strengths, labels, scratch)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = ranker.scaled(batch.column("strength").to_numpy())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))],
+                names=["doc_id", "held_out", "score", "predicted"])
+
+    return strengths.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
-    """The rows with a score of at least THRESHOLD, all columns unchanged."""
-    ship_package(docs.sparkSession)
-    return _score(docs, train(docs, labels, per_class), True)
+    """The rows with a score of at least THRESHOLD, all columns unchanged.
+
+    Texts are read three times (fit, cut, result) and never shuffled.
+    """
+    scratch = Scratch(docs.sparkSession, "quality")
+    ranker = train(docs, labels, per_class)
+    strengths = scratch.write(_strengths(docs.where(F.col("doc_id").isNotNull() & ~held_out()), ranker), "strengths")
+    ranker = _at_population(ranker, strengths, labels, scratch)
+    scratch.drop("strengths", "trained")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield part.filter(pa.array(ranker.score(features(part.column("text"))) >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)

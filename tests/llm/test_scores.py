@@ -52,6 +52,23 @@ def test_ranker_orders_pairs():
     assert abs(np.mean(ranker.score(x) < quality.THRESHOLD) - np.mean(~good)) < 0.02
 
 
+def test_quality_cut_of_all_rows(spark):
+    """Classes that overlap and are capped in the fit: as many rows are rejected as are labelled bad."""
+    random = np.random.default_rng(3)
+    rows, labels = [], []
+    for i in range(500):
+        bad = i % 10 == 0
+        rows.append((i, " ".join("word" if random.random() < (0.6 if bad else 0.4) else f"w{random.integers(10 ** 6)}" for _ in range(20))))
+        labels.append((i, int(not bad)))
+    docs, votes = plain(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int")
+    used = [r for r in quality.score_documents(docs, votes, per_class=30).collect() if not r.held_out]
+    bad = sum(r.doc_id % 10 == 0 for r in used)
+    ties = max(sum(r.score == s for r in used) for s in {r.score for r in used})
+    assert abs(sum(r.predicted == 0 for r in used) - bad) <= ties < len(used) // 20
+    kept = {r.doc_id for r in quality.keep_good(docs, votes, per_class=30).collect()}
+    assert kept == {r.doc_id for r in quality.score_documents(docs, votes, per_class=30).collect() if r.predicted}
+
+
 # ---- top-k -----------------------------------------------------------------------
 
 def best_by_hand(rows, k):
