@@ -30,7 +30,7 @@ RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 DIGEST_LENGTHS = {32, 40, 56, 64, 96, 128}
 UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 HEX_ANY = re.compile(r"[0-9A-Fa-f]+")
-PART = re.compile(r"[A-Za-z]+[0-9]{0,4}|[0-9]*")
+PART = re.compile(r"([A-Za-z]+)[0-9]{0,4}|[0-9]*")
 MAX_CHARS_PER_TOKEN = 2.0
 
 SCHEMA = ("doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, "
@@ -48,17 +48,26 @@ def vocabulary(path: str | None):
     return tiktoken.Encoding("scan", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def is_known(run: str) -> bool:
-    """Digests, UUIDs, numbers and identifiers made of words and short numbers."""
+def is_known(run: str, encoding, limit: float = MAX_CHARS_PER_TOKEN) -> bool:
+    """Digests, UUIDs, numbers and identifiers made of words and short numbers.
+
+    The shape alone makes no identifier: its letters must have ``limit`` characters a token.
+    """
     if UUID.fullmatch(run) or (len(run) in DIGEST_LENGTHS and HEX_ANY.fullmatch(run)):
         return True
-    return all(PART.fullmatch(part) for part in re.split(r"[+/_=-]", run))
+    parts = [PART.fullmatch(part) for part in re.split(r"[+/_=-]", run)]
+    if not all(parts):
+        return False
+    letters = [m[1] for m in parts if m[1]]
+    if len(letters) > 1:  # constants in capitals have the words of lower case
+        letters = [w.lower() if w.isupper() else w for w in letters]
+    return sum(map(len, letters)) >= limit * sum(len(encoding.encode_ordinary(w)) for w in letters)
 
 
 def random_spans(text: str, encoding, limit: float = MAX_CHARS_PER_TOKEN) -> list[tuple[int, int]]:
     """Key-like runs of under ``limit`` characters a token that are no known digest or identifier."""
     return [(m.start(), m.end()) for m in RUN.finditer(text)
-            if not is_known(m[0]) and len(m[0]) < limit * len(encoding.encode_ordinary(m[0]))]
+            if len(m[0]) < limit * len(encoding.encode_ordinary(m[0])) and not is_known(m[0], encoding, limit)]
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:

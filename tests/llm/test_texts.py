@@ -287,6 +287,19 @@ def test_secrets_token_efficiency():
         assert found(known) == []
 
 
+def test_secrets_letter_keys(spark):
+    """Random letters, and letters before short numbers, are keys; words are not."""
+    random.seed(6)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    keys = ["".join(random.choice(letters) for _ in range(n)) + tail for n in (24, 32, 40) for tail in ("", "7", "2024")]
+    names = ["internationalizationOfIdentifiers", "AbstractFactoryBeanProvider2", "x86_64-unknown-linux-gnu", "some/path/to/the/file_2024", "HAVE_SOCKADDR_SA_LEN_2", "2024-01-15-10-20-30-40"]
+    docs = plain(spark, list(enumerate([f"see {k} here" for k in keys + names])))
+    got = {r.doc_id: (r.n_random, r.spans) for r in secrets.scan(docs).collect()}
+    assert all(got[i] == (1, f"random:4:{4 + len(k)}") for i, k in enumerate(keys))
+    assert all(got[len(keys) + i] == (0, "") for i in range(len(names)))
+    assert not any(k in r.text for r in secrets.redact(docs).collect() for k in keys)
+
+
 def test_secrets_redact(spark):
     docs = documents(spark)
     out = secrets.redact(docs)
