@@ -38,9 +38,13 @@ def tokenizer(path: str | None):
     from tokenizers import Tokenizer
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-    found = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@lru_cache(maxsize=4)
+def added_tokens(path: str | None) -> tuple[str, ...]:
+    """Contents that the tokenizer reads as one id each and the rank file does not know."""
+    return tuple(t.content for t in tokenizer(path).get_added_tokens_decoder().values())
 
 
 def token_ids(texts: list[str], path: str | None = None, ranks_path: str | None = None,
@@ -48,12 +52,13 @@ def token_ids(texts: list[str], path: str | None = None, ranks_path: str | None
     """Ids of all texts in order, each text closed by ``end_id``, and the number per text.
 
     Latin text goes through the rank file of the same vocabulary, which gives
-    the same ids several times faster; any other script through the tokenizer itself.
+    the same ids several times faster; any other script, and texts with the
+    content of an added token, through the tokenizer itself.
     """
-    quick, end = vocabulary(ranks_path), np.array([end_id], np.uint32)
+    quick, end, added = vocabulary(ranks_path), np.array([end_id], np.uint32), added_tokens(path)
     parts = []
     for text in texts:
-        if text and OTHER_SCRIPT.search(text):
+        if text and (OTHER_SCRIPT.search(text) or any(t in text for t in added)):
             parts.append(np.array(tokenizer(path).encode(text, add_special_tokens=False).ids, np.uint32))
         elif text:
             parts.append(quick.encode_to_numpy(text, disallowed_special=()))

@@ -204,6 +204,21 @@ def test_token_ids():
         at += n
 
 
+def test_token_ids_of_unaltered_tokenizer(spark):
+    """Texts with the content of an added token, against a tokenizer of the test's own."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = lambda t: [*own.encode(t, add_special_tokens=False).ids, packing.END_ID]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\ny", "no <|endoftext| mark", "é<|endoftext|>日本", "don't  stop \t"]
+    ids, sizes = packing.token_ids(texts)
+    assert encode(texts[0]) == [64, 220, 50256, 275, packing.END_ID]
+    assert ids.tolist() == [i for t in texts for i in encode(t)] and sizes.tolist() == [len(encode(t)) for t in texts]
+    pieces = packing.pack(plain(spark, list(enumerate(texts)))).collect()
+    assert {p.doc_id: (p.doc_tokens, p.ids_crc32) for p in pieces} == {
+        i: (len(encode(t)), zlib.crc32(np.array(encode(t), "<u4").tobytes())) for i, t in enumerate(texts)}
+
+
 def test_hilbert_curve():
     points = np.array([(x, y, z) for x in range(8) for y in range(8) for z in range(8)])
     key = packing.hilbert_key(points, 3)
