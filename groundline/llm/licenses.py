@@ -3,12 +3,16 @@
 Lines, paragraphs and whole texts are compared with licence templates. Bigrams
 count as often as they occur, so the number of words alone bounds the
 coefficient: 2 * min(a, b) / (a + b). Units outside every template's bound are
-dropped before any bigram is made.
+dropped before any bigram is made. Full texts, standard headers and notices
+amid other words are found in windows of template length over the joined lines.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from groundline.llm.base import Scratch
+from groundline.llm.license_texts import FULL_TEXTS, SPDX
 
 #: Common licence notices.
 TEMPLATES = [
@@ -38,6 +42,12 @@ def templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(TEMPLATES, "license_id string, text string")
 
 
+def window_templates(spark: SparkSession) -> DataFrame:
+    """The notices, full texts, standard headers and SPDX lines."""
+    lines = [(i, f"SPDX-License-Identifier: {i}") for i in SPDX]
+    return spark.createDataFrame([*TEMPLATES, *FULL_TEXTS, *lines], "license_id string, text string")
+
+
 def normalised(text: Column) -> Column:
     """Lower case; everything but letters, digits and line breaks is one space."""
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\n]+", " ")
@@ -52,6 +62,62 @@ def bigrams(unit: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)))
 
 
+def template_bigrams(source: DataFrame) -> DataFrame:
+    """(license_id, template, b, bigram, in_template) of templates with at least two words."""
+    known = source.select("license_id", F.trim(F.replace(normalised(F.col("text")), F.lit("\n"), F.lit(" "))).alias("t")).select(
+        "license_id", F.regexp_replace("t", " +", " ").alias("t")).where(word_count(F.col("t")) > 1)
+    return known.select("license_id", F.xxhash64("t").alias("template"), (word_count(F.col("t")) - 1).alias("b"), F.explode(bigrams(F.col("t"))).alias("bigram")).groupBy(
+        "license_id", "template", "b", "bigram").agg(F.count("*").alias("in_template"))
+
+
+def windows(rows: DataFrame, source: DataFrame, threshold: float) -> DataFrame:
+    """(row, doc_id, content, number, license_id, dice): windows of the joined lines as long as a template.
+
+    ``number`` is the first word. Of the windows of one template with starts at
+    most half its length apart the best in each length counts, and of templates of different
+    licences that meet in a window's middle the one with the greater dice.
+
+    Shared bigrams are placed in order; a start is tried only if enough of them
+    follow within the window, so nothing else of the text is looked at.
+    """
+    pairs = template_bigrams(source)
+    n = pairs.count()
+    if n and n <= BROADCAST_BIGRAMS:
+        pairs = F.broadcast(pairs)
+    joined = F.regexp_replace(F.trim(F.replace("t", F.lit("\n"), F.lit(" "))), " +", " ")
+    key = ["row", "doc_id", "content", "license_id", "template", "b"]
+    hits = rows.select("row", "doc_id", F.xxhash64("t").alias("content"), F.posexplode(all_bigrams(joined)).alias("at", "bigram")).join(pairs, "bigram")
+    need = F.ceil(threshold * F.col("b") - 1e-9).cast("int")
+    placed = hits.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("at", "bigram", "in_template"))).alias("hits")).where(F.size("hits") >= need)
+    starts = placed.select(*key, "hits", F.explode(F.filter(F.sequence(F.lit(0), F.size("hits") - need), lambda i: (
+        F.get("hits", i + need - 1)["at"] - F.get("hits", i)["at"] < F.col("b")))).alias("i"))
+    inside = starts.select(*key, F.get("hits", F.col("i"))["at"].alias("start"), F.slice("hits", F.col("i") + 1, F.col("b")).alias("hits")).select(
+        *key, "start", F.explode("hits").alias("h")).where(F.col("h.at") < F.col("start") + F.col("b"))
+    common = inside.groupBy(*key, "start", "h.bigram", "h.in_template").agg(F.count("*").alias("n")).groupBy(*key, "start").agg(
+        F.sum(F.least("n", "in_template")).alias("common")).where(F.col("common") >= need)
+    order = Window.partitionBy(*key).orderBy("start")
+    apart = F.coalesce(F.col("start") - F.lag("start").over(order) > F.col("b") / 2, F.lit(True))
+    best = Scratch(rows.sparkSession, "licenses").write(common.withColumn("apart", apart.cast("int")).withColumn("chain", F.sum("apart").over(order)).withColumn(
+        "first", F.min("start").over(Window.partitionBy(*key, "chain"))).groupBy(*key, "chain", F.expr("(start - first) div b").alias("place")).agg(
+        F.max(F.struct("common", (-F.col("start")).alias("before"))).alias("best")).select(
+        *key, (-F.col("best.before")).alias("number"), (F.col("best.common") / F.col("b")).alias("dice")), "windows")
+    middle = F.expr("number + b div 2")
+    spread = best.select(F.col("row").alias("row"), F.explode(F.expr("sequence(number div 64, (number + b - 1) div 64)")).alias("grid"),
+                         F.col("number").alias("from_word"), (F.col("number") + F.col("b")).alias("to_word"), F.col("dice").alias("other_dice"),
+                         F.col("license_id").alias("other"), F.col("b").alias("other_b"))
+    beaten = best.withColumn("grid", F.expr("(number + b div 2) div 64")).join(spread.hint("merge"), ["row", "grid"]).where(
+        (F.col("license_id") != F.col("other")) & (middle >= F.col("from_word")) & (middle < F.col("to_word"))
+        & (F.struct("other_dice", "other_b") > F.struct("dice", "b"))).select(*key[:1], "template", "license_id", "number").distinct()
+    left = best.join(beaten.hint("merge"), ["row", "template", "license_id", "number"], "left_anti")
+    return left.groupBy("row", "doc_id", "content", "number", "license_id").agg(F.max("dice").alias("dice"))
+
+
+def all_bigrams(unit: Column) -> Column:
+    """Bigrams of texts of any length, split once; the last entry is a single word and equals no bigram."""
+    words = F.split(unit, " ")
+    return F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda x, y: F.concat_ws(" ", x, y))
+
+
 def scan(docs: DataFrame, licenses: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, unit, number, license_id, dice): the best licence of every matching unit.
 
@@ -62,6 +128,10 @@ def scan(docs: DataFrame, licenses: DataFrame | None = None, threshold: float =
     null; other columns are ignored; an empty table gives no rows. Licences:
     (license_id, text), one of each id (the least text counts).
 
+    Licences that no such unit of a document names are also looked for in its
+    windows (unit ``window``, numbered by their first word); without ``licenses``
+    these have full texts, standard headers and SPDX lines as templates too.
+
     Only shared bigrams leave the scan: the templates' bigrams are broadcast when
     they are few (counted first), and else joined by a shuffle.
     """
@@ -88,16 +158,19 @@ def scan(docs: DataFrame, licenses: DataFrame | None = None, threshold: float =
 
     breaks = F.instr("t", "\n") > 0
     whole = F.when(breaks, F.array("t")).otherwise(F.slice(F.array("t"), 1, 0))
-    found = rows.select("row", "doc_id", F.explode(F.concat(
+    found = rows.select("row", "doc_id", F.xxhash64("t").alias("content"), F.explode(F.concat(
         units("line", F.split("t", "\n"), 1), units("paragraph", F.split("t", "\n ?\n"), 2), units("text", whole, 1))).alias("u"))
-    words = found.select("row", "doc_id", "u.unit", "u.number", (word_count(F.col("u.t")) - 1).alias("a"), F.explode(bigrams(F.col("u.t"))).alias("bigram"))
+    words = found.select("row", "doc_id", "content", "u.unit", "u.number", (word_count(F.col("u.t")) - 1).alias("a"), F.explode(bigrams(F.col("u.t"))).alias("bigram"))
     shared = words.join(pairs, "bigram").where((F.col("a") >= bound * F.col("b")) & (F.col("a") <= F.col("b") / bound))
-    each = shared.groupBy("row", "doc_id", "unit", "number", "license_id", "a", "b", "bigram", "in_template").agg(F.count("*").alias("n"))
-    scores = each.groupBy("row", "doc_id", "unit", "number", "license_id", "a", "b").agg(
+    each = shared.groupBy("row", "doc_id", "content", "unit", "number", "license_id", "a", "b", "bigram", "in_template").agg(F.count("*").alias("n"))
+    scores = each.groupBy("row", "doc_id", "content", "unit", "number", "license_id", "a", "b").agg(
         F.sum(F.least("n", "in_template")).alias("common")).withColumn("dice", 2.0 * F.col("common") / (F.col("a") + F.col("b")))
-    best = scores.where(F.col("dice") >= threshold).groupBy("row", "doc_id", "unit", "number").agg(
+    best = scores.where(F.col("dice") >= threshold).groupBy("row", "doc_id", "content", "unit", "number").agg(
         F.min(F.struct((-F.col("dice")).alias("order"), "license_id")).alias("best"))
-    return best.select("doc_id", "unit", "number", "best.license_id", F.round(-F.col("best.order"), 9).alias("dice"))
+    named = best.select("row", "doc_id", "content", "unit", "number", "best.license_id", (-F.col("best.order")).alias("dice"))
+    amid = windows(rows, source if licenses is not None else window_templates(spark), threshold).join(
+        named.select("content", "license_id").distinct().hint("merge"), ["content", "license_id"], "left_anti")
+    return named.unionByName(amid.withColumn("unit", F.lit("window"))).select("doc_id", "unit", "number", "license_id", F.round("dice", 9).alias("dice"))
 
 
 def _quoted(text: str) -> str:

@@ -116,6 +116,16 @@ def test_licenses(spark):
     assert licenses.scan(documents(spark)).where("license_id = 'MIT'").count() == 1
 
 
+def test_licenses_amid_other_words(spark):
+    """Full texts, headers in comments, notices with words around them and over two lines."""
+    texts = {i: t for i, t in licenses.FULL_TEXTS}
+    rows = [(1, "Released under the MIT License. See LICENSE for details"), (2, "Some words come first. This work is licensed under\nthe GNU General Public License, version 3. And more words follow here."),
+            (3, "Copyright (c) 2020 A\n\n" + texts["MIT"].replace(". ", ".\n\n") + "\n\ncode = 1\n" * 50), (4, "import os\n" + "# SPDX-License-Identifier: Apache-2.0\nx = 1"),
+            (5, "Copyright B\n" + texts["BSD-3-Clause"] + "\nand " + texts["BSD-3-Clause"]), (6, "/*\n" + "\n".join(f" * {w}" for w in texts["Apache-2.0"].split(". ")) + "\n*/"), (7, "the license of the software " * 300)]
+    got = sorted((r.doc_id, r.license_id) for r in licenses.scan(plain(spark, rows)).where("unit = 'window'").collect())
+    assert got == [(1, "MIT"), (2, "GPL-3.0"), (3, "MIT"), (4, "Apache-2.0"), (5, "BSD-3-Clause"), (5, "BSD-3-Clause"), (6, "Apache-2.0")]
+
+
 # ---- pipeline --------------------------------------------------------------------
 
 def test_pipeline(spark):
