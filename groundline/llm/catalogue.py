@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from groundline.llm import chat, decontam, language, licenses, near, packing, quality, secrets, substrings, topk
+from groundline.llm import chat, decontam, language, licenses, manifest, near, packing, quality, secrets, substrings, topk
 from groundline.llm.base import documents
 
 
@@ -49,9 +49,14 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.find_leaks(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return manifest.manifest(documents(spark, folder))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_deleted_interpolation, op2_quality_classifier, op3_exact_topk, op4_suffix_dedup, op5_minhash_dedup, op6_packing,
-    op7_license_scan, op8_secret_scan, op9_chat_repair, op10_decontamination)}
+    op7_license_scan, op8_secret_scan, op9_chat_repair, op10_decontamination,
+    op11_merkle_manifest)}
 ORACLE: dict[str, str] = {
     "op3_exact_topk": """
 WITH good AS (SELECT vec_id, min(list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT)) AS v FROM embeddings
