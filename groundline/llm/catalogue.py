@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from groundline.llm import chat, decontam, language, licenses, manifest, near, packing, quality, secrets, substrings, topk, trie
+from groundline.llm import chat, decontam, language, licenses, manifest, near, packing, quality, secrets, signature, substrings, topk, trie
 from groundline.llm.base import documents
 
 
@@ -53,6 +53,10 @@ def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return manifest.manifest(documents(spark, folder))
 
 
+def op12_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return signature.jaccard_join(documents(spark, folder))
+
+
 def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return trie.prefix_trie(spark.read.parquet(f"{folder}/conversations.parquet"))
 
@@ -60,7 +64,7 @@ def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_deleted_interpolation, op2_quality_classifier, op3_exact_topk, op4_suffix_dedup, op5_minhash_dedup, op6_packing,
     op7_license_scan, op8_secret_scan, op9_chat_repair, op10_decontamination,
-    op11_merkle_manifest, op13_prefix_trie)}
+    op11_merkle_manifest, op12_jaccard_join, op13_prefix_trie)}
 ORACLE: dict[str, str] = {
     "op3_exact_topk": """
 WITH good AS (SELECT vec_id, min(list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT)) AS v FROM embeddings
