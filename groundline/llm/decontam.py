@@ -144,7 +144,7 @@ def item_passes(items: DataFrame, limit: int) -> list[list[tuple[int, str]]]:
     Only one pass is sent to tasks at a time.
     """
     rows = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where(
-        "item_id is not null and text is not null").distinct().orderBy("item_id", "text").toLocalIterator()
+        "text is not null").distinct().orderBy("item_id", "text").toLocalIterator()
     out, size = [], 0
     for item, text in rows:
         n = len(text.encode())
@@ -163,8 +163,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, share: float = ERROR_SHARE, pa
     Words are compared without case and outer punctuation; an item of m words
     may differ in floor(share * m) of them. Returned: the run of least distance,
     as word numbers (start, end exclusive). Null texts and texts without words
-    contain nothing, items without words are found nowhere, a null doc_id stays
-    null, repeated rows give repeated results, no items or documents give no
+    contain nothing, items without words are found nowhere, a null doc_id or
+    item_id stays null, repeated rows give repeated results, no items or documents give no
     rows; other columns are ignored. Whole texts are searched where they lie:
     there is no shuffle, and the items go to the tasks in passes of bounded size.
     """
