@@ -167,7 +167,9 @@ def scan(docs: DataFrame, licenses: DataFrame | None = None, threshold: float =
         F.sum(F.least("n", "in_template")).alias("common")).withColumn("dice", 2.0 * F.col("common") / (F.col("a") + F.col("b")))
     best = scores.where(F.col("dice") >= threshold).groupBy("row", "doc_id", "content", "unit", "number").agg(
         F.min(F.struct((-F.col("dice")).alias("order"), "license_id")).alias("best"))
-    named = best.select("row", "doc_id", "content", "unit", "number", "best.license_id", (-F.col("best.order")).alias("dice"))
+    # read twice below: the scan of all texts runs once
+    named = Scratch(spark, "licenses").write(
+        best.select("row", "doc_id", "content", "unit", "number", "best.license_id", (-F.col("best.order")).alias("dice")), "named")
     amid = windows(rows, source if licenses is not None else window_templates(spark), threshold).join(
         named.select("content", "license_id").distinct().hint("merge"), ["content", "license_id"], "left_anti")
     return named.unionByName(amid.withColumn("unit", F.lit("window"))).select("doc_id", "unit", "number", "license_id", F.round("dice", 9).alias("dice"))
