@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from groundline.llm import decontam, near, packing, quality, secrets
 from groundline.llm.base import Scratch, documents
+from groundline.llm.ranks import ranked
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,17 +20,26 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest doc_id) of every group of near-duplicates; rows without a doc_id stay."""
+    """One document (the smallest doc_id) of every group of near-duplicates; rows without a doc_id stay.
+
+    Where several rows have a doc_id, each row is judged by its own text: rows
+    are numbered in the order of doc_id and digest, and a text that is no near
+    copy stays, whatever other texts its doc_id has.
+    """
     scratch = Scratch(spark, "near-stage")
-    found = scratch.write(near.near_duplicates(docs), "groups")
-    gone = found.where("not kept").select("doc_id").distinct()
-    # the ids grow with the documents: never a broadcast, whatever their number
-    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
-    repeated = scratch.write(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    if repeated.isEmpty():
-        return kept
-    again = docs.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(again)
+    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if again.isEmpty():
+        found = scratch.write(near.near_duplicates(docs), "groups")
+        # the ids grow with the documents: never a broadcast, whatever their number
+        return docs.join(found.where("not kept").select("doc_id").hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    rows = scratch.write(docs.select(F.struct(*docs.columns).alias("document"), F.monotonically_increasing_id().alias("row")), "rows")
+    order = scratch.write(rows.where("document.doc_id is not null").select(
+        F.lit("").alias("all"), F.col("document.doc_id").alias("doc_id"), F.sha2("document.text", 256).alias("digest"), "row"), "order")
+    number = ranked(order, scratch, "ranked", "all", ["doc_id", "digest", "row"]).select("row", F.col("rank").alias("doc_id"))
+    numbered = scratch.write(rows.select("row", F.col("document.text").alias("text")).join(number.hint("merge"), "row"), "numbered")
+    gone = scratch.write(near.near_duplicates(numbered), "groups").where("not kept").select("doc_id")
+    gone = numbered.select("row", "doc_id").join(gone.hint("merge"), "doc_id").select("row")
+    return rows.join(gone.hint("merge"), "row", "left_anti").select("document.*")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

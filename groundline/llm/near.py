@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from groundline.llm.base import Scratch, flat, mix, slices, word_hashes, words
 from groundline.llm.components import components
+from groundline.operators.ordering import split_lookup
 
 SIDE, DEPTH = 10, 2
 #: Clusters up to this size are compared in one task; larger ones in blocks of about half of it.
@@ -79,8 +80,15 @@ def minhash_sketches(values: np.ndarray, counts: np.ndarray, side: int, depth: i
     return out.view(np.int64)
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
+def set_identity(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Two 64-bit hashes of each set; zeros for empty ones."""
+    totals = np.zeros((2, len(counts)), np.uint64)
+    some = counts > 0
+    if some.any():
+        starts = (np.cumsum(counts) - counts)[some]
+        totals[0, some] = np.add.reduceat(mix(values ^ np.uint64(0x5851F42D4C957F2D)), starts)
+        totals[1, some] = np.bitwise_xor.reduceat(mix(values + np.uint64(0x14057B7EF767814F)), starts)
+    return totals.view(np.int64)
 
 
 def _sketch(size: int, side: int, depth: int):
@@ -89,30 +97,28 @@ def _sketch(size: int, side: int, depth: int):
             for part in slices(batch, "text"):
                 values, counts = shingles(part.column("text"), size)
                 some = counts > 0
-                starts = (np.cumsum(counts) - counts)[some]
-                totals = np.zeros((2, len(counts)), np.uint64)
-                if some.any():
-                    totals[0, some] = np.add.reduceat(mix(values ^ np.uint64(0x5851F42D4C957F2D)), starts)
-                    totals[1, some] = np.bitwise_xor.reduceat(mix(values + np.uint64(0x14057B7EF767814F)), starts)
+                totals = set_identity(values, counts)
                 flat_sketch = minhash_sketches(values, counts, side, depth).ravel()
                 offsets = np.concatenate([[0], np.cumsum(some * 2 * side)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [flat(part.column("doc_id")), pa.array(counts.astype(np.int64)), _signed(totals[0]), _signed(totals[1]),
+                    [flat(part.column("doc_id")), pa.array(counts.astype(np.int64)), pa.array(totals[0]), pa.array(totals[1]),
                      pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat_sketch))],
                     names=["doc_id", "n_shingles", "set_a", "set_b", "sketch"])
     return run
 
 
-def _sets(size: int):
+def class_sets(size: int):
+    """Sets of rows whose text is the one of their class (a doc_id may have other texts, too)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 values, counts = shingles(part.column("text"), size)
-                ends = np.cumsum(counts)
-                packed = [values[e - c:e].tobytes() for e, c in zip(ends, counts, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [flat(part.column("cluster")), flat(part.column("doc_id")), pa.array(packed, pa.binary())],
-                    names=["cluster", "doc", "shingle_set"])
+                ends, found = np.cumsum(counts), set_identity(values, counts)
+                own = (found[0] == part.column("set_a").to_numpy()) & (found[1] == part.column("set_b").to_numpy())
+                packed = [values[ends[i] - counts[i]:ends[i]].tobytes() for i in np.flatnonzero(own)]
+                rows = part.filter(pa.array(own))
+                yield pa.RecordBatch.from_arrays([flat(rows.column("cluster")), flat(rows.column("doc")), pa.array(packed, pa.binary())],
+                                                 names=["cluster", "doc", "shingle_set"])
     return run
 
 
@@ -177,7 +183,7 @@ def _candidate_clusters(classes: DataFrame, scratch: Scratch, side: int) -> Data
     hits = keys.join(buckets.hint("merge"), "key")
     pairs = scratch.write(hits.select("doc", F.explode(F.array("low", "high")).alias("pivot")).where("doc <> pivot").select(
         F.greatest("doc", "pivot").alias("a"), F.least("doc", "pivot").alias("b")).distinct(), "pairs")
-    sketch = classes.groupBy("doc").agg(F.min("sketch").alias("sketch"))
+    sketch = classes.select("doc", "sketch")
     low = F.lit(0xFFFFFFFF)
     # these sides grow with the documents: never a broadcast, whatever their number
     agree = F.aggregate(
@@ -210,17 +216,20 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     """
     scratch = Scratch(docs.sparkSession, "near")
     source = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
-    sketches = scratch.write(source.mapInArrow(_sketch(shingle_words, side, DEPTH), SKETCHES), "sketches")
-    classes = scratch.write(
-        sketches.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b")
-        .agg(F.min("doc_id").alias("doc"), F.min("sketch").alias("sketch")), "classes")
+    # a class is named by its set: two texts of one doc_id stay apart until their links are known
+    doc = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.xxhash64("set_a", "set_b"))
+    sketches = scratch.write(source.mapInArrow(_sketch(shingle_words, side, DEPTH), SKETCHES).withColumn("doc", doc), "sketches")
+    whole = sketches.where("doc is not null")
+    classes = scratch.write(whole.groupBy("doc").agg(
+        F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min("set_a").alias("set_a"), F.min("set_b").alias("set_b"),
+        F.min("sketch").alias("sketch")), "classes")
     clusters = scratch.write(_candidate_clusters(classes, scratch, side), "clusters")
     sizes = clusters.groupBy("component").count()
-    members = clusters.join(sizes, "component").select(
-        F.col("id").alias("doc_id"), F.col("component").alias("cluster"), F.col("count").alias("size"))
+    members = classes.select("doc", F.col("least").alias("doc_id"), "set_a", "set_b").join(
+        clusters.select(F.col("id").alias("doc"), F.col("component").alias("cluster")).hint("merge"), "doc")
     sets = scratch.write(
-        source.join(members.select("doc_id", "cluster").hint("merge"), "doc_id").select("cluster", "doc_id", "text")
-        .mapInArrow(_sets(shingle_words), "cluster long, doc_id long, shingle_set binary".replace("doc_id", "doc")), "sets")
+        source.join(members.hint("merge"), "doc_id").select("cluster", "doc", "set_a", "set_b", "text")
+        .mapInArrow(class_sets(shingle_words), "cluster long, doc long, shingle_set binary"), "sets")
     sized = sets.join(sizes.select(F.col("component").alias("cluster"), F.col("count").alias("size")), "cluster")
     compare, schema = _compare(percent), "a long, b long"
     links = scratch.write(
@@ -254,15 +263,14 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     scratch.drop("sets")
 
     # rows of one doc_id with different texts are one node: tie their classes together
-    several = sketches.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(
-        F.min(F.struct("set_a", "set_b")).alias("one"), F.max(F.struct("set_a", "set_b")).alias("other")).where("one <> other")
-    ties = sketches.join(several.select("doc_id"), "doc_id").join(classes.select("set_a", "set_b", "doc"), ["set_a", "set_b"]).select(
-        F.col("doc_id").alias("a"), F.col("doc").alias("b"))
-    joined = components(links.union(first).union(second).union(ties), scratch, "links")
-    named = classes.select("set_a", "set_b", "doc").join(joined, F.col("doc") == F.col("id"), "left").select(
-        "set_a", "set_b", F.coalesce("component", "doc").alias("class_component"))
-    rows = sketches.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_a")).alias("set_a"), "set_b")
-    out = rows.join(named, ["set_a", "set_b"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"),
-                      F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    several = whole.groupBy("doc_id").agg(F.min("doc").alias("b"), F.max("doc").alias("other")).where("b <> other").select("doc_id", "b")
+    ties = whole.join(several, "doc_id").select(F.col("doc").alias("a"), "b").where("a <> b")
+    joined = scratch.write(components(links.union(first).union(second).union(ties), scratch, "links"), "joined")
+    named = scratch.write(classes.select("doc", "least", "copies").join(
+        joined.select(F.col("id").alias("doc"), F.col("component").alias("top")), "doc", "left").withColumn("top", F.coalesce("top", "doc")), "named")
+    # hot components and hot copies are looked up without a shuffle of their rows
+    smallest = named.groupBy("top").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    named = scratch.write(split_lookup(named, smallest, ["top"], "n").select("doc", "copies", "component_id"), "components")
+    found = split_lookup(whole.select("doc_id", "n_shingles", "doc"), named, ["doc"], "copies").select("doc_id", "n_shingles", "component_id")
+    out = found.unionByName(sketches.where("doc is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

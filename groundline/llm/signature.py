@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from groundline.llm.base import Scratch, flat, mix, ragged, slices
 from groundline.llm.components import components
-from groundline.llm.near import shingles
+from groundline.llm.near import class_sets, set_identity, shingles
 from groundline.llm.ranks import ranked
 from groundline.operators.ordering import split_lookup
 
@@ -98,32 +98,6 @@ def _keyed(size: int, percent: int):
     return run
 
 
-def set_identity(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Two 64-bit hashes of each set; zeros for empty ones."""
-    totals = np.zeros((2, len(counts)), np.uint64)
-    some = counts > 0
-    if some.any():
-        starts = (np.cumsum(counts) - counts)[some]
-        totals[0, some] = np.add.reduceat(mix(values ^ np.uint64(0x5851F42D4C957F2D)), starts)
-        totals[1, some] = np.bitwise_xor.reduceat(mix(values + np.uint64(0x14057B7EF767814F)), starts)
-    return totals.view(np.int64)
-
-
-def _sets(size: int):
-    """Sets of rows whose text is the one of their class (a doc_id may have other texts, too)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                values, counts = shingles(part.column("text"), size)
-                ends, found = np.cumsum(counts), set_identity(values, counts)
-                own = (found[0] == part.column("set_a").to_numpy()) & (found[1] == part.column("set_b").to_numpy())
-                packed = [values[ends[i] - counts[i]:ends[i]].tobytes() for i in np.flatnonzero(own)]
-                rows = part.filter(pa.array(own))
-                yield pa.RecordBatch.from_arrays([flat(rows.column("cluster")), flat(rows.column("node")), pa.array(packed, pa.binary())],
-                                                 names=["cluster", "node", "shingle_set"])
-    return run
-
-
 class Tree:
     """Levels of nodes over sets, from the sets upwards; order keeps like sets together (least shingle first)."""
 
@@ -290,8 +264,8 @@ def jaccard_join(docs: DataFrame, shingle_words: int = 3, percent: int = 90) ->
     many = clusters.groupBy("cluster").agg(F.count("*").alias("sets"))
     members = scratch.write(classes.select("node", "doc", "size", "set_a", "set_b").join(clusters.hint("merge"), "node"), "members")
     wanted = members.select(F.col("doc").alias("doc_id"), "cluster", "node", "set_a", "set_b")
-    sets = scratch.write(source.join(wanted.hint("merge"), "doc_id").select("cluster", "node", "set_a", "set_b", "text")
-                         .mapInArrow(_sets(shingle_words), "cluster long, node long, shingle_set binary"), "sets")
+    sets = scratch.write(source.join(wanted.hint("merge"), "doc_id").select("cluster", F.col("node").alias("doc"), "set_a", "set_b", "text")
+                         .mapInArrow(class_sets(shingle_words), "cluster long, doc long, shingle_set binary").withColumnRenamed("doc", "node"), "sets")
     if sets.count() > members.count():  # repeated rows
         sets = scratch.write(sets.groupBy("cluster", "node").agg(F.min("shingle_set").alias("shingle_set")), "sets-once")
     join, schema = _join(percent), "a long, b long"

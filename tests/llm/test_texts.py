@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from groundline.llm import decontam, near, packing, secrets, substrings
 from groundline.llm.base import Scratch
 from groundline.llm.components import components
@@ -375,3 +376,37 @@ def test_leaks_whole_table(spark, data):
     items = spark.read.parquet(f"{data}/benchmark.parquet").collect()
     exact = {(d.doc_id, b.item_id) for d in spark.read.parquet(f"{data}/documents.parquet").collect() for b in items if d.text and b.text in d.text}
     assert exact and exact <= got
+
+
+def test_near_unlike_texts_of_one_doc_id(spark):
+    """Every text of a doc_id takes part with its own sketch."""
+    random.seed(21)
+    prose = lambda n: [f"w{random.randrange(10 ** 6)}" for _ in range(n)]
+    rows, expected = [], {}
+    for trial in range(12):
+        one, other = prose(150), prose(150)
+        close = list(other)
+        close[70] = "changed"
+        rows += [(10 * trial, " ".join(one)), (10 * trial, " ".join(other)), (10 * trial + 1, " ".join(close)), (10 * trial + 2, " ".join(prose(90)))]
+        expected |= {10 * trial: 10 * trial, 10 * trial + 1: 10 * trial, 10 * trial + 2: 10 * trial + 2}
+    found = near.near_duplicates(plain(spark, rows)).collect()
+    assert len(found) == len(rows) and {r["doc_id"]: r["component_id"] for r in found} == expected
+
+
+def test_near_stage_keeps_unlike_texts_of_one_doc_id(spark):
+    random.seed(22)
+    prose = lambda: " ".join(f"w{random.randrange(10 ** 6)}" for _ in range(80))
+    a, b, c = prose(), prose(), prose()
+    rows = [(1, a), (1, b), (2, b + " more"), (2, c), (3, a), (3, a), (None, a), (None, None), (4, ""), (4, "")]
+    kept = corpus_pipeline.near_stage(spark, plain(spark, rows), "").collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=repr) == sorted(
+        [(1, a), (1, b), (2, c), (None, a), (None, None), (4, ""), (4, "")], key=repr)
+    assert kept[0].asDict().keys() == plain(spark, rows).first().asDict().keys()
+
+
+def test_leaks_of_an_item_without_id(spark):
+    passage = "some words of a known test item that nobody should train on at all"
+    items = spark.createDataFrame([(None, passage), (None, None)], "item_id long, text string")
+    docs = plain(spark, [(1, f"before {passage} after"), (2, "nothing of the kind")])
+    assert [(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(docs, items).collect()] == [(1, None)]
+    assert [r["doc_id"] for r in decontam.keep_clean(docs, items).collect()] == [2]
