@@ -83,6 +83,62 @@ def read_checkpoint(spark: SparkSession, path: str, payload: str = "map<string,s
     return rows.select(F.col("payload")["case_id"].alias("case_id"), F.col("pos").cast("long").alias("pos"), "payload")
 
 
-def write_checkpoint(results: DataFrame, path: str) -> None:
-    """Append completed cases as JSON lines; the reader keeps the last row per case."""
-    results.write.mode("append").json(path)
+# A checkpoint log is a folder of numbered segments. Appending writes the next one, compaction writes
+# the last row of every case as the next one and then removes what came before. Rows of a later segment
+# win, so a reader sees the same cases before, during and after a compaction that stops half-way.
+
+LOG_ROW = "pos long, case_id string, payload map<string,string>"
+
+
+def _segments(spark: SparkSession, path: str) -> list[tuple[int, bool]]:
+    """(number, complete) of the segments of a log, ascending; a segment without Spark's mark is not complete."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(folder):
+        return []
+    names = [s.getPath().getName() for s in store.listStatus(folder)]
+    numbers = sorted(int(n.removeprefix("segment-")) for n in names if n.startswith("segment-"))
+    mark = lambda n: spark._jvm.org.apache.hadoop.fs.Path(f"{_segment(path, n)}/_SUCCESS")
+    return [(n, bool(store.exists(mark(n)))) for n in numbers]
+
+
+def _segment(path: str, number: int) -> str:
+    return f"{path.rstrip('/')}/segment-{number:09d}"
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """(segment, pos, case_id, payload) of the last row per case; no rows for a log that was never written."""
+    found = [n for n, complete in _segments(spark, path) if complete]
+    if not found:
+        return spark.createDataFrame([], f"segment long, {LOG_ROW}")
+    rows = spark.read.schema(LOG_ROW).json([_segment(path, n) for n in found])
+    number = F.regexp_extract(F.col("_metadata.file_path"), r"segment-(\d+)/[^/]*$", 1).cast("long")
+    last = F.max_by(F.struct("segment", "pos", "payload"), F.struct("segment", "pos"))
+    return rows.select(number.alias("segment"), *rows.columns).where("coalesce(case_id, '') <> ''").groupBy("case_id").agg(
+        last.alias("last")).select("last.segment", "last.pos", "case_id", "last.payload")
+
+
+def _write_segment(results: DataFrame, path: str, number: int) -> int:
+    results.select("pos", "case_id", "payload").write.mode("errorifexists").json(_segment(path, number))
+    return number
+
+
+def append_log(results: DataFrame, path: str) -> int:
+    """Write ``results`` (pos, case_id, payload) as the next segment; its number. A log has one writer at a time."""
+    return _write_segment(results, path, max((n for n, _ in _segments(results.sparkSession, path)), default=0) + 1)
+
+
+def compact_log(spark: SparkSession, path: str) -> int:
+    """Put the last row of every case into one new segment and remove the older ones; its number.
+
+    The number follows the segments seen at the start: if another one was
+    appended since, the write fails and nothing is removed. Unfinished segments
+    are removed, too.
+    """
+    older = [n for n, _ in _segments(spark, path)]
+    number = _write_segment(read_log(spark, path), path, max(older, default=0) + 1)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for n in older:
+        target = hadoop.Path(_segment(path, n))
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return number

@@ -25,11 +25,11 @@ def relative_path(path: Column, root: str) -> Column:
     return F.when(F.startswith(clean, F.lit(base)), F.substring(clean, F.lit(len(base) + 1), F.length(clean))).otherwise(clean)
 
 
-def source_tree(spark: SparkSession, root: str, max_bytes: int | None = C.SOURCE_FILE_MAX_BYTES) -> DataFrame:
+def source_tree(spark: SparkSession, root: str, max_bytes: int | None = None) -> DataFrame:
     """(file_path, suffix, status, content) of every file under ``root``.
 
     ``status`` is kept, or why the file is skipped. The size rule (None: no
-    limit) is applied to the listing, so oversized files are never read.
+    limit, the default) is applied to the listing, so oversized files are never read.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     path = relative_path(F.col("path"), root)
@@ -79,3 +79,23 @@ def write_snapshot(df: DataFrame, root: str, stamp: str) -> str:
     target = f"{root.rstrip('/')}/{stamp}"
     df.write.mode("errorifexists").parquet(target)
     return target
+
+
+def prune_snapshots(spark: SparkSession, root: str, keep: int, pinned: tuple[str, ...] = ()) -> list[str]:
+    """Remove all but the ``keep`` (at least one) newest complete snapshots below ``root``; stamps of those removed.
+
+    Pinned stamps stay and are not counted. A snapshot that was not written to
+    its end has no mark; it stays and is not counted, as its writer may be at work.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(root)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(folder):
+        raise FileNotFoundError(root)
+    names = sorted(s.getPath().getName() for s in store.listStatus(folder) if s.isDirectory())
+    stamps = [n for n in names if re.fullmatch(r"\d{8}-\d{6}-\d{6}", n) and n not in pinned
+              and store.exists(hadoop.Path(f"{root}/{n}/_SUCCESS"))]
+    gone = stamps[:-max(keep, 1)]
+    for name in gone:
+        store.delete(hadoop.Path(f"{root}/{name}"), True)
+    return gone

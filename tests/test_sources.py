@@ -24,13 +24,13 @@ def test_source_tree(spark, tmp_path):
     write(tmp_path / "latin.txt", b"caf\xe9")
     write(tmp_path / "blank.rst", "  \n")
     write(tmp_path / "big.txt", "x" * 1_000_001)
-    tree = files.source_tree(spark, str(tmp_path))
+    tree = files.source_tree(spark, str(tmp_path), 1_000_000)
     assert {r["file_path"]: r["status"] for r in tree.collect()} == {
         "README.md": "kept", "pkg/mod.py": "kept", "pkg/bad.py": "kept", "node_modules/x.md": "skipped_path", "data.bin": "skipped_suffix",
         "latin.txt": "skipped_encoding", "blank.rst": "skipped_blank", "big.txt": "skipped_size"}
     got = sorted((r["file_path"], r["symbol"], r["content_type"]) for r in files.documentation_chunks(tree).collect())
     assert got == [("README.md", "Part", "documentation"), ("README.md", "Title", "documentation")]
-    assert files.source_tree(spark, str(tmp_path), None).filter("status = 'skipped_size'").count() == 0
+    assert files.source_tree(spark, str(tmp_path)).filter("status = 'skipped_size'").count() == 0
     root = str(tmp_path)
     write(tmp_path / f"build{root}/c.md", "x")  # the root's name again below it
     again = {r["file_path"]: r["status"] for r in files.source_tree(spark, f"file:{root}").collect()}
@@ -118,3 +118,40 @@ def test_metadata_only_change_is_a_patch(spark):
     new = spark.createDataFrame([("s", 0, "a", "r1", '{"k": 1}'), ("t", 0, "b", "r1", "{}"), ("u", 0, "d", "r1", None)], schema)
     got = {r["source"]: (r["action"], r["metadata_json"], r["content"]) for r in tables.ensure_sources(old, new).collect()}
     assert got == {"s": ("patch", '{"k": 1}', "a"), "t": ("keep", "{}", "b"), "u": ("replace", None, "d")}
+
+
+def log_rows(spark, path):
+    return sorted((r["case_id"], r["payload"]["v"]) for r in feeds.read_log(spark, path).collect())
+
+
+def test_checkpoint_log(spark, tmp_path):
+    """What is appended is read back, also after a compaction and one that stopped half-way."""
+    path = str(tmp_path / "log")
+    rows = lambda *r: spark.createDataFrame([(i, c, {"v": v}) for i, (c, v) in enumerate(r)], feeds.LOG_ROW)
+    assert log_rows(spark, path) == []
+    assert feeds.append_log(rows(("a", "1"), ("b", "1"), ("a", "2"), (None, "x"), ("", "y")), path) == 1
+    feeds.append_log(rows(("b", "2")), path)
+    expected = [("a", "2"), ("b", "2")]
+    assert log_rows(spark, path) == expected
+    write(tmp_path / "log/segment-000000003/part-0.json", '{"pos": 0, "case_id": "b", "payload": {"v": "torn"}}')
+    assert log_rows(spark, path) == expected
+    assert feeds.compact_log(spark, path) == 4
+    assert sorted(p.name for p in (tmp_path / "log").iterdir()) == ["segment-000000004"] and log_rows(spark, path) == expected
+    feeds.append_log(rows(("c", "1"), ("a", "3")), path)
+    assert log_rows(spark, path) == [("a", "3"), ("b", "2"), ("c", "1")]
+    cases = spark.createDataFrame([("a",), ("d",)], "case_id string")
+    assert [r["case_id"] for r in tables.pending_cases(cases, feeds.read_log(spark, path)).collect()] == ["d"]
+
+
+def test_prune_snapshots(spark, tmp_path):
+    root, one = str(tmp_path / "snap"), spark.range(3)
+    with pytest.raises(FileNotFoundError):
+        files.prune_snapshots(spark, root, 1)
+    stamps = [f"20260102-03040{i}-000000" for i in range(5)]
+    for stamp in stamps:
+        files.write_snapshot(one, root, stamp)
+    write(tmp_path / "snap/20260102-030409-000000/part-0.parquet", "unfinished")
+    assert files.prune_snapshots(spark, root, 2, pinned=(stamps[0],)) == stamps[1:3]
+    assert files.prune_snapshots(spark, root, 0) == [stamps[0], stamps[3]]
+    assert sorted(p.name for p in (tmp_path / "snap").iterdir()) == [stamps[4], "20260102-030409-000000"]
+    assert spark.read.parquet(f"{root}/{stamps[4]}").count() == 3
