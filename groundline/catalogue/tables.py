@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from groundline import config as C
@@ -9,6 +11,9 @@ from groundline.catalogue import base as B
 from groundline.functions import rules
 from groundline.functions import text as T
 from groundline.operators import chunking, ingest, tables, vectors
+from groundline.plans import upkeep
+from groundline.session import shared_folder
+from groundline.sources.versions import VersionedTables
 
 
 # ---- input views ------------------------------------------------------------------------------
@@ -171,19 +176,37 @@ def registry_get(spark, d):
     return tables.get_documents(registry(spark, d), wanted).select("document_id", "found", "filename", "status")
 
 
-def _delete(spark, d):
-    reg = registry(spark, d)
-    chunks = B.chunks(spark, d).withColumn("source", F.concat(F.lit("research:upload_"), "doc_id"))
-    vec = chunks.join(B.chunk_vectors(spark, d).select("chunk_id"), "chunk_id", "left_semi")
-    wanted = toxic_docs(spark, d).select(F.concat(F.lit("doc_"), "doc_id").alias("document_id"))
-    return tables.delete_documents(reg, chunks, vec, wanted)
+def _versioned(spark, name):
+    """Tables of their own for one query, in the shared folder."""
+    return VersionedTables(spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
 
 
 def delete_cascade(spark, d):
-    t = _delete(spark, d)
-    parts = [t[n].agg(F.count("*").alias("n")).select(F.lit(f"left in {n}").alias("what"), "n") for n in ("registry", "chunks", "vectors")]
-    removed = t["removed"].select(F.col("document_id").alias("what"), F.col("removed_chunks").alias("n"))
-    return removed.unionByName(parts[0]).unionByName(parts[1]).unionByName(parts[2])
+    """Documents deleted from three stored tables in one commit; what readers of the next version see."""
+    store = _versioned(spark, "delete")
+    store.commit({"registry": registry(spark, d), "chunks": B.chunks(spark, d).withColumn("source", F.concat(F.lit("research:upload_"), "doc_id"))}, 0)
+    kept = store.read()["chunks"].select("chunk_id", "source", "source_index").join(B.table(spark, d, "embeddings").select((F.col("vec_id") * 1000000).alias("chunk_id")), "chunk_id", "left_semi")
+    store.commit({"vectors": kept}, 1)
+    removed = upkeep.delete_documents(store, toxic_docs(spark, d).select(F.concat(F.lit("doc_"), "doc_id").alias("document_id")))
+    now = store.read()
+    left = [now[n].agg(F.count("*").alias("n")).select(F.lit(f"left in {n}").alias("what"), "n") for n in ("registry", "chunks", "vectors")]
+    return removed.select(F.col("document_id").alias("what"), F.col("removed_chunks").alias("n")).unionByName(left[0]).unionByName(left[1]).unionByName(left[2])
+
+
+def index_rebuild(spark, d):
+    """Vectors of all chunks: those of an earlier text or of a chunk that is gone are replaced or dropped.
+
+    Length and checksum of the text stand in for the model's vector.
+    """
+    store = _versioned(spark, "rebuild")
+    store.commit({"chunks": B.chunks(spark, d).select("chunk_id", "source", "source_index", "content")}, 0)
+    stored = B.table(spark, d, "embeddings").select("vec_id", "embedding", (F.col("vec_id") * 1000000).alias("chunk_id")).join(store.read()["chunks"], "chunk_id")
+    earlier = F.when(F.col("vec_id") % 3 == 1, F.lit(" earlier")).otherwise(F.lit(""))
+    cols = ["source", "source_index", "content_sha", F.col("embedding").cast("array<float>").alias("embedding")]
+    stored = stored.withColumn("content_sha", F.sha2(F.concat("content", earlier), 256))
+    store.commit({"vectors": stored.select("chunk_id", *cols).unionByName(stored.select((-1 - F.col("chunk_id")).alias("chunk_id"), *cols))}, 1)
+    upkeep.rebuild_index(store, lambda rows: rows.withColumn("embedding", F.array(F.length("content"), F.crc32(F.col("content")) % 1000)), parts=4)
+    return store.read()["vectors"].select("chunk_id", "source", "source_index", "content_sha", F.round(F.get("embedding", 0).cast("double"), 6).alias("first_value"))
 
 
 def snapshot_retention(spark, d):
@@ -270,7 +293,7 @@ def source_names(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     change_detect, replace_source, ensure_source, delete_source, vector_sync, vector_stale, vector_freshness, index_status, embedding_parse,
-    embedding_prep, embedding_response, embedding_backfill, registry_upload, client_validation, registry_list, registry_get, delete_cascade,
+    embedding_prep, embedding_response, embedding_backfill, registry_upload, client_validation, registry_list, registry_get, delete_cascade, index_rebuild,
     snapshot_retention, translation_split, translation_stats, translated_chunks, metadata_override, checkpoint_resume, request_validation,
     path_validation, redact_secrets, source_names)}
 
@@ -364,3 +387,6 @@ ORACLE["delete_cascade"] = B.oracle("""SELECT document_id AS what, count(chunk_i
     SELECT 'left in registry', count(*) FROM reg WHERE document_id NOT IN (SELECT document_id FROM gone) UNION ALL
     SELECT 'left in chunks', count(*) FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM gone) UNION ALL
     SELECT 'left in vectors', count(*) FROM cvec WHERE chunk_id // 1000000 NOT IN (SELECT doc_id FROM gone)""", "reg", "chunks", "cvec", "gone")
+ORACLE["index_rebuild"] = B.oracle("""SELECT chunk_id, source, source_index, sha256(content) AS content_sha,
+    CASE WHEN embedding IS NULL OR vec_id % 3 = 1 THEN length(content)::DOUBLE ELSE round(embedding[1]::DOUBLE, 6) END AS first_value
+    FROM chunks LEFT JOIN embeddings ON chunk_id = vec_id * 1000000""", "chunks")
