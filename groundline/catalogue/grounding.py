@@ -149,6 +149,18 @@ def answer_gate(spark, d):
     return O.assemble(rows.drop("sufficient"), v).select("task_id", T.sha("answer").alias("sha"), "status", F.array_join("sources", "|").alias("sources"))
 
 
+def model_json(spark, d):
+    """Every document as the answer of a draft in model text: fenced, after a broken brace, cut off, without a brace, of the wrong type, or followed by prose."""
+    k = F.col("doc_id") % 6
+    text = F.concat(F.lit("t"), F.coalesce("text", F.lit("")))
+    whole = F.to_json(F.struct(text.alias("answer"), F.array(F.struct(F.lit("c1").alias("claim_id"), F.col("source").alias("text"), F.array(F.lit("e1"), F.lit("e2")).alias("evidence_ids"))).alias("claims")))
+    raw = (F.when(k == 0, F.concat(F.lit("```json\n"), whole, F.lit("\n```"))).when(k == 1, F.concat(F.lit('so {"a": {x} and '), whole)).when(k == 2, F.expr("'{' || repeat('{\"a\":', 500)"))
+           .when(k == 3, F.translate("text", "{", "(")).when(k == 4, F.to_json(F.struct(F.lit(4).alias("answer"), text.alias("note")))).otherwise(F.concat(F.lit("Here: "), whole, F.lit(' {"answer": "no"} }'))))
+    rows = B.table(spark, d, "documents").select("doc_id", raw.alias("raw"))
+    return G.with_draft(rows).select("doc_id", T.sha("answer").alias("sha"), F.get(F.col("claims.text"), 0).alias("claim"),
+                                     F.size(F.flatten("claims.evidence_ids")).cast("long").alias("n_citations"), "parse_error")
+
+
 def source_labels(spark, d):
     return case_rows(spark, d).select("task_id", F.posexplode(O.source_labels()).alias("label_pos", "label")).withColumn(
         "label_pos", F.col("label_pos").cast("long"))
@@ -187,7 +199,7 @@ def answer_run(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     claim_explode, unknown_citations, cited_sources, entity_coverage, claim_entity_check, draft_reason, grounding_violations,
-    draft_outcome, retry_kinds, verify_preflight, verify_cleanup, answer_gate, source_labels, sources_grouped, evidence_id_maps,
+    draft_outcome, retry_kinds, verify_preflight, verify_cleanup, answer_gate, model_json, source_labels, sources_grouped, evidence_id_maps,
     prompt_payload, answer_run)}
 
 # ---- the same in SQL ------------------------------------------------------------------------------
@@ -334,6 +346,8 @@ ORACLE = {
     "retry_kinds": B.oracle(f"""SELECT task_id, attempt, CASE WHEN {B.d_any("lower(coalesce(message, vmessage, ''))", C.GROUNDING_RETRY_TERMS)} THEN 'grounding' ELSE 'none' END AS retry FROM gval""", "gval"),
     "verify_preflight": B.oracle("SELECT * FROM gpre", "gpre"),
     "verify_cleanup": B.oracle("SELECT * FROM gclean", "gclean"),
+    "model_json": """SELECT doc_id, CASE WHEN doc_id % 6 IN (0, 1, 5) THEN sha256('t' || coalesce(text, '')) END AS sha, CASE WHEN doc_id % 6 IN (0, 1, 5) THEN source END AS claim,
+        CASE WHEN doc_id % 6 IN (0, 1, 5) THEN 2 ELSE 0 END AS n_citations, CASE doc_id % 6 WHEN 2 THEN 'truncated' WHEN 3 THEN 'no_object' WHEN 4 THEN 'wrong_type' END AS parse_error FROM documents""",
     "answer_gate": B.oracle(f"""SELECT task_id, sha256(CASE WHEN sufficient THEN answer ELSE '{C.INSUFFICIENT_ANSWER}' END) AS sha,
         CASE WHEN sufficient THEN 'success' ELSE 'evidence_insufficient' END AS status, array_to_string(labels, '|') AS sources
         FROM gfirst JOIN gver USING (task_id) JOIN glab USING (task_id)""", "gfirst", "gver", "glab"),

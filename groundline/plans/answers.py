@@ -19,13 +19,13 @@ def answer_runs(tables: SearchTables, tasks: DataFrame, drafts: Callable[[DataFr
                 embed: Embedder | None = None) -> DataFrame:
     """Retrieve, draft, check, verify and gate for a table of tasks.
 
-    ``drafts(pool)`` supplies (task_id, attempt, answer, claims) rows and
-    ``verdicts(cases)`` adds the model's verification columns; both stand for
-    offline inference over the pool. ``embed`` gives the queries their vectors.
+    ``drafts(pool)`` supplies (task_id, attempt, raw) rows with the model's text, or
+    (task_id, attempt, answer, claims); ``verdicts(cases)`` adds raw_verdict, or
+    the verification columns. Both stand for offline inference over the pool. ``embed`` gives the queries their vectors.
     """
     pool = materialize(research(tables, tasks, max_items=max_items, embed=embed), "pool")
-    outcomes = G.draft_outcomes(G.cases(tasks, pool, drafts(pool), how="left"))
-    checked = verdicts(G.cases(tasks, pool, outcomes.select("task_id", "answer", "claims", "outcome")))
+    outcomes = G.draft_outcomes(G.cases(tasks, pool, G.with_draft(drafts(pool)), how="left"))
+    checked = G.with_verdict(verdicts(G.cases(tasks, pool, outcomes.select("task_id", "answer", "claims", "outcome"))))
     final = assemble(checked.drop("sufficient"), G.verify(checked))
     extra = checked.select("task_id", "outcome", F.array_distinct(F.transform("pool", lambda p: p["source_id"])).alias("pool_sources"))
     return final.join(extra, "task_id")

@@ -1,8 +1,12 @@
 """Golden drafts for the rules the tables do not show."""
 
+import json
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from groundline.functions import json_scan
 from groundline.functions.json_text import first_object
 from groundline.operators import grounding as G
 
@@ -75,6 +79,58 @@ def test_first_object(spark):
     assert got == ["1", "2", "3", None, None, None, '{"b":5}', None, "7"]
 
 
+def test_object_scan_equals_trying_every_brace():
+    def tried(text):
+        for i in (i for i, c in enumerate(text) if c == "{"):
+            try:
+                return text[i:i + json.JSONDecoder().raw_decode(text[i:])[1]]
+            except json.JSONDecodeError:
+                continue
+
+    rng = random.Random(5)
+    pieces = ["{", "}", '{"a":', '"', "1", ",", "[", "]", ":", "x", " ", "\\", "{}", '"b":', '{"a":1}', "null", "-0.5e3", "01"]
+    for _ in range(20_000):
+        text = "".join(rng.choices(pieces, k=rng.randrange(15)))
+        assert json_scan.first_object(text) == tried(text), text
+
+
+@pytest.mark.parametrize("unit", ["{", '{"a":', '{"a":[', '{"{":"{",', '{"a{":{'])
+def test_object_scan_reads_on_in_linear_time(unit, monkeypatch):
+    read, pattern = [0], json_scan._TOKEN
+
+    class Counted:
+        def match(self, text, at):
+            read[0] += 1
+            return pattern.match(text, at)
+
+    monkeypatch.setattr(json_scan, "_TOKEN", Counted())
+    text = unit * (200_000 // len(unit))
+    assert json_scan.first_object(text) is None and read[0] <= 3 * len(text)
+
+
+def test_raw_drafts_and_verdicts(spark):
+    drafts = ['{"answer": "x", "claims": [{"claim_id": "c", "text": "t", "evidence_ids": ["e"]}]}', '{"answer": "x"}', '{"answer": 5}', '{"answer": "x", "claims": null}',
+              '{"answer": "x", "claims": "c"}', '{"answer": "x', "none", "", None, '{"claims": []}']
+    rows = G.with_draft(spark.createDataFrame(list(enumerate(drafts)), "i int, raw string")).orderBy("i").collect()
+    assert [(r["answer"], len(r["claims"]), r["parse_error"]) for r in rows] == [
+        ("x", 1, None), ("x", 0, None), *[(None, 0, "wrong_type")] * 3, (None, 0, "truncated"), *[(None, 0, "no_object")] * 3, (None, 0, "wrong_type")]
+    verdicts = ['ok: {"sufficient": true, "supported_points": ["p"], "reason": "r"}', '{"sufficient": "maybe"}', '{"sufficient": false, "missing_points": 3}', "x", None]
+    rows = G.with_verdict(spark.createDataFrame(list(enumerate(verdicts)), "i int, raw_verdict string")).orderBy("i").collect()
+    assert [(r["sufficient"], r["supported_points"], r["missing_points"], r["reason"]) for r in rows] == [(True, ["p"], [], "r"), *[(None,) * 4] * 4]
+
+
+def test_raw_attempts_to_outcomes(spark):
+    """A cut draft is repaired; an unreadable verdict is the fallback, a readable one counts."""
+    good = json.dumps({"answer": "A good long synthesis.", "claims": [c if isinstance(c, dict) else c.asDict() for c in case(spark, "x", GOOD).first()["claims"]]}, default=lambda r: r.asDict())
+    base = case(spark, "x", GOOD).drop("answer", "claims")
+    attempts = base.withColumn("raw", F.lit(good[:40])).withColumn("attempt", F.lit(1)).unionByName(base.withColumn("raw", F.lit(good)).withColumn("attempt", F.lit(2)))
+    row = G.draft_outcomes(G.with_draft(attempts)).first()
+    assert (row["outcome"], row["original_validation_reason"]) == ("repaired", "schema_error") and "JSON object" in row["original_validation_message"]
+    seen = {raw: G.verify(G.with_verdict(case(spark, "A good long synthesis.", GOOD).withColumn("raw_verdict", F.lit(raw)))).first()
+            for raw in ('{"sufficient": true, "supported_points": ["p"], "reason": "fine"}', "I think so")}
+    assert [v["sufficient"] for v in seen.values()] == [True, False]
+
+
 def test_outcomes(spark):
     one = case(spark, "short", GOOD).withColumn("attempt", F.lit(1))
     two = case(spark, "A good long synthesis.", GOOD).withColumn("attempt", F.lit(2))
