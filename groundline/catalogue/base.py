@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from groundline.functions import text as T
 from groundline.operators.chunking import window_chunks
 from groundline.plans.retrieval import SearchTables, with_search_text
-from groundline.session import spread
+from groundline.session import materialize, spread
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -37,7 +37,11 @@ def stored(spark: SparkSession, d: str, name: str, build):
 # ---- Spark views -----------------------------------------------------------------
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Window chunks of all documents with provenance columns."""
+    """Window chunks of all documents with provenance columns, cut and written once."""
+    return stored(spark, d, "chunks", lambda: materialize(cut_chunks(spark, d), "chunks"))
+
+
+def cut_chunks(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(
         "doc_id", "text", "lang", F.concat(F.lit("research:"), "source").alias("source"), F.col("source").alias("title"))
     return window_chunks(docs).select(
@@ -56,7 +60,7 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
 def chunk_vectors(spark: SparkSession, d: str) -> DataFrame:
     """The embedding of number v belongs to the first chunk of document v."""
     return table(spark, d, "embeddings").select((F.col("vec_id") * 1000000).alias("chunk_id"), "embedding").join(
-        chunks(spark, d).select("chunk_id", "source", "source_index", "content"), "chunk_id")
+        chunks(spark, d).filter("part = 0").select("chunk_id", "source", "source_index", "content"), "chunk_id")
 
 
 def queries(spark: SparkSession, d: str) -> DataFrame:
@@ -68,7 +72,7 @@ def queries(spark: SparkSession, d: str) -> DataFrame:
 
 def search_tables(spark: SparkSession, d: str) -> SearchTables:
     def build() -> SearchTables:
-        return SearchTables.build(with_search_text(chunks(spark, d)), chunk_vectors(spark, d).select("chunk_id", "embedding"))
+        return SearchTables.build(with_search_text(chunks(spark, d)), chunk_vectors(spark, d).select("chunk_id", "embedding"), written=True)
 
     return stored(spark, d, "search", build)
 

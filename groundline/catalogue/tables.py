@@ -45,7 +45,7 @@ def uploads(spark, d):
         F.when(n == 5, F.lit(0)).when(n == 6, F.lit(30_000_000)).otherwise(F.length("text")).cast("long").alias("size"),
         F.when(n == 7, F.lit("no pdf")).otherwise(F.lit("\n %PDF-1.7")).alias("head"),
         T.sha("text").alias("sha"), (1_700_000_000 + F.col("doc_id") * 60).alias("created_at"),
-        chunking.window_count(T.collapse("text")).cast("long").alias("chunk_count"))
+        chunking.window_count(F.length(T.collapse("text"))).cast("long").alias("chunk_count"))
 
 
 def registry(spark, d):

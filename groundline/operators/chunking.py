@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from groundline import config as C
 from groundline.functions import text as T
 from groundline.operators.ordering import running_offset
-from groundline.session import broadcast_if_small
+from groundline.session import BROADCAST_LIMIT, materialize
 
 
 #: Bytes of a (source, doc_id, offset) row in a broadcast, source names of up to some hundred characters included.
@@ -27,9 +27,10 @@ def windows(content: Column, size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OV
     ).otherwise(T.strings([]))
 
 
-def window_count(content: Column, size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP) -> Column:
+def window_count(length: Column, size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP) -> Column:
+    """Number of windows over normalized text of this length."""
     step = max(1, size - overlap)
-    return F.when(F.length(content) > 0, F.floor((F.length(content) - 1) / step) + 1).otherwise(F.lit(0))
+    return F.when(length > 0, F.floor((length - 1) / step) + 1).otherwise(F.lit(0))
 
 
 def window_chunks(docs: DataFrame, size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP,
@@ -37,18 +38,22 @@ def window_chunks(docs: DataFrame, size: int = C.CHUNK_SIZE, overlap: int = C.CH
     """Chunk (doc_id, source, text, …) rows; ``source_index`` counts chunks within a source.
 
     (source, doc_id) names a row. The number of windows follows from the length,
-    so offsets are summed over a table of (source, doc_id, windows), bucket by
-    bucket in a large source, and come back to the texts by a broadcast while
-    that table is small: text is not shuffled. Buckets are equal ranges of the
-    ids there are, about ``bucket_docs`` documents each for dense and hashed ids.
+    so lengths are written first, in one scan of the texts, and offsets are summed
+    over that table, bucket by bucket in a large source. They come back to the
+    texts by a broadcast while that table is small; beyond that each text moves
+    once, unsorted. Buckets are equal ranges of the ids there are, about
+    ``bucket_docs`` documents each for dense and hashed ids.
     """
-    flat = docs.withColumn("text", T.collapse("text"))
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
+    lengths = materialize(docs.select("source", "doc_id", T.collapse("text").alias("text")).select(
+        "source", "doc_id", F.length("text").alias("_length")), "lengths")
+    low, high, n = lengths.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
     width = max(1.0, (high - low + 1) * bucket_docs / n) if n else 1.0
     bucket = F.floor((F.col("doc_id").cast("double") - float(low or 0)) / width)
-    narrow = flat.select("source", "doc_id", window_count(F.col("text"), size, overlap).alias("_n")).filter("_n > 0")
+    narrow = lengths.filter("_length > 0").select("source", "doc_id", window_count(F.col("_length"), size, overlap).alias("_n"))
     offsets = running_offset(narrow, ["source"], bucket, ["doc_id"], F.col("_n"), "_offset").select("source", "doc_id", "_offset")
-    placed = flat.join(broadcast_if_small(offsets, n, OFFSET_BYTES), ["source", "doc_id"])
+    small = n * OFFSET_BYTES <= BROADCAST_LIMIT
+    # the hash table of a partition holds offsets, so the texts need no sort
+    placed = docs.withColumn("text", T.collapse("text")).join(offsets.hint("broadcast" if small else "shuffle_hash"), ["source", "doc_id"])
     keep = [c for c in docs.columns if c != "text"]
     return placed.select(
         *keep, "_offset", F.posexplode(windows(F.col("text"), size, overlap)).alias("part", "content")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from groundline import config as C
 from groundline.functions import text as T
 from groundline.operators.hybrid import expand, fuse, rerank, rerank_features
-from groundline.operators.lexical import bm25_topk, corpus_stats, document_frequency, with_terms
+from groundline.operators.lexical import bm25_topk, corpus_stats, document_frequency, term_index
 from groundline.operators.vectors import vector_topk
 from groundline.session import broadcast_if_small, materialize
 
@@ -25,11 +25,14 @@ class SearchTables:
     stats: DataFrame
 
     @classmethod
-    def build(cls, chunks: DataFrame, vectors: DataFrame) -> "SearchTables":
-        """Write every table once; later steps read their columns from files, and no search counts the corpus again."""
-        stored = materialize(with_terms(chunks), "chunks")
-        index = stored.select("chunk_id", "dl", "terms")
-        return cls(stored.drop("dl", "terms"), index, materialize(vectors, "vectors"),
+    def build(cls, chunks: DataFrame, vectors: DataFrame, *, written: bool = False) -> "SearchTables":
+        """Write every table once; later steps read their columns from files, and no search counts the corpus again.
+
+        ``written`` chunks are read from files already: only their term lists are added.
+        """
+        texts = chunks if written else materialize(chunks, "chunks")
+        index = materialize(term_index(texts), "terms")
+        return cls(texts, index, materialize(vectors, "vectors"),
                    materialize(document_frequency(index), "frequencies"), materialize(corpus_stats(index), "statistics"))
 
     def bm25(self, queries: DataFrame, k: int = C.CANDIDATE_K) -> DataFrame:

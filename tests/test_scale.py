@@ -136,3 +136,35 @@ def test_chunk_numbers_without_moving_text(spark):
     rows = got.collect()
     assert len(rows) == sum(map(len, want.values()))
     assert all(want[r["source"]][r["source_index"]] == (r["doc_id"], r["part"], r["content"]) for r in rows)
+
+
+def test_postings_without_a_shuffle(spark):
+    rows = [(1, ["a", "b", "a"]), (2, []), (3, None), (4, ["b"] * 5 + ["ü"])] + [(10 + i, ["a", f"t{i}"] * 2) for i in range(5000)]
+    index = spark.createDataFrame(rows, "chunk_id long, terms array<string>").repartition(3)
+    post = lexical.postings(index)
+    assert "Exchange hashpartitioning(chunk_id" not in post._jdf.queryExecution().executedPlan().toString()
+    got = sorted(map(tuple, post.collect()))
+    assert got[:4] == [(1, "a", 2), (1, "b", 1), (4, "b", 5), (4, "ü", 1)] and len(got) == 10004
+    assert all(r[2] == 2 for r in got[4:])
+
+
+def test_texts_move_once_and_unsorted_beyond_the_broadcast(spark, monkeypatch):
+    from groundline.operators import chunking
+
+    docs = spark.range(2000).select("id", F.concat(F.lit("s"), F.col("id") % 3).alias("source"), F.col("id").alias("doc_id"),
+                                    F.repeat(F.lit("wörd  "), (F.col("id") % 7).cast("int")).alias("text")).drop("id")
+    want = chunking.window_chunks(docs, 10, 2)
+    monkeypatch.setattr(chunking, "BROADCAST_LIMIT", 0)
+    got = chunking.window_chunks(docs, 10, 2)
+    lines = got._jdf.queryExecution().executedPlan().toString().split("\n")
+    assert not [x for x in lines if " Sort " in x and "text" in x] and any("ShuffledHashJoin" in x for x in lines)
+    assert got.count() == want.count() > 2000 and got.exceptAll(want).count() == 0
+
+
+def test_chunks_are_cut_once(spark, data):
+    from groundline.catalogue import base
+
+    base.chunks(spark, data).count()
+    for df in (base.chunks(spark, data), base.chunk_vectors(spark, data)):
+        assert "documents.parquet" not in df._jdf.queryExecution().optimizedPlan().toString() and not [
+            f for f in df.inputFiles() if "documents.parquet" in f]
