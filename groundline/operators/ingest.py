@@ -57,6 +57,12 @@ def ingest_pages(blocks: DataFrame, existing: DataFrame, revisions: DataFrame) -
     ``revisions`` is (doc, revision), one row per document. Documents without
     text become status ``failed``.
     """
+    pages, chunks = cut_pages(blocks, revisions)
+    return chunks, ingest_status(pages, chunks, existing)
+
+
+def cut_pages(blocks: DataFrame, revisions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cleaned pages, chunks) of page blocks, both written."""
     pages = materialize(clean_pages(page_text(blocks)), "pages")
     raw = page_chunks(pages).withColumns({
         "source": F.concat(F.lit("research:"), "doc"), "file_path": F.concat("doc", F.lit(".pdf")),
@@ -67,14 +73,17 @@ def ingest_pages(blocks: DataFrame, existing: DataFrame, revisions: DataFrame) -
     described = join_per_key(numbered, revisions, ["doc"], "inner", "page").withColumn("metadata", chunk_metadata(
         F.col("source"), F.col("revision"), F.col("file_path"), F.col("symbol"), F.col("content"), source_type=F.lit("paper"),
         content_type=F.lit("paper"), language=F.lit("text"), title=F.col("doc")))
-    chunks = materialize(described, "ingested")
+    return pages, materialize(described, "ingested")
+
+
+def ingest_status(pages: DataFrame, chunks: DataFrame, existing: DataFrame) -> DataFrame:
+    """One status row per document of a run that finds ``existing`` chunks stored."""
     made = chunks.groupBy("doc").agg(F.count("*").alias("chunks_total"), F.sum(F.col("n_rows") - 1).alias("duplicates"))
     empty = pages.groupBy("doc").agg(F.count_if(F.col("text") == "").alias("empty_pages"), F.count("*").alias("n_pages"))
     change = changed_sources(existing, chunks).select(F.substring("source", 10, 1_000_000).alias("doc"), "unchanged")
-    status = empty.join(made, "doc", "left").join(change, "doc", "left").select(
+    return empty.join(made, "doc", "left").join(change, "doc", "left").select(
         "doc", F.when(F.col("chunks_total").isNull(), F.lit("failed")).when(F.col("unchanged"), F.lit("unchanged"))
         .otherwise(F.lit("completed")).alias("status"),
         F.when(F.col("chunks_total").isNull() | F.col("unchanged"), F.lit(0)).otherwise(F.col("chunks_total")).cast("long").alias("chunks_created"),
         F.coalesce("chunks_total", F.lit(0)).cast("long").alias("chunks_total"),
         (F.col("empty_pages") + F.coalesce("duplicates", F.lit(0))).cast("long").alias("skipped_chunks"), "n_pages")
-    return chunks, status
