@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from groundline import config as C
 from groundline.functions import text as T
 from groundline.operators.lexical import normalize, rank_by_score
-from groundline.session import broadcast_if_small
+from groundline.session import BROADCAST_LIMIT, broadcast_if_small
 
 
 def fuse(vector: DataFrame, bm25: DataFrame, k: int = C.CANDIDATE_K,
@@ -70,9 +70,11 @@ def expand(hits: DataFrame, chunks: DataFrame, n_hits: int) -> DataFrame:
     """Text of each hit with its direct neighbours: (…hits, expanded, n_neighbours).
 
     Neighbours share the source and differ by at most one in source_index; in
-    ``research:`` sources also the section. Each hit asks for three exact keys, so
-    the join hashes on (source, source_index) and no source is a hot key.
+    ``research:`` sources also the section. Few hits ask for three exact keys each,
+    by a broadcast; many are expanded range by range. No source is a hot key.
     """
+    if 3 * n_hits * 160 > BROADCAST_LIMIT:
+        return _expand_many(hits, chunks)
     me = chunks.select("chunk_id", "source", "source_index", "section")
     at = me.join(broadcast_if_small(hits.select("chunk_id").distinct(), n_hits, 16), "chunk_id")
     wanted = at.select(
@@ -88,3 +90,30 @@ def expand(hits: DataFrame, chunks: DataFrame, n_hits: int) -> DataFrame:
         "chunk_id", F.array_join(F.col("_n.content"), "\n\n").alias("expanded"),
         F.size("_n").cast("long").alias("n_neighbours"))
     return hits.join(expanded, "chunk_id", "left")
+
+
+#: Source positions of a range; its chunks and hits stay below the rows a window holds in memory.
+RANGE = 1024
+
+
+def _expand_many(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The same for any number of hits: each text moves once, to the range of its source that it lies in.
+
+    Chunks at the edge of a range also go to the next one. Hits move without
+    text and collect the contents beside them in a window over the range.
+    """
+    index, research = F.col("source_index"), F.startswith("source", F.lit("research:"))
+    me = chunks.select("chunk_id", F.col("source").alias("_source"), F.col("source_index").cast("long").alias("_index"), F.col("section").alias("_section"))
+    own = F.coalesce(F.floor(F.col("_index") / RANGE), F.pmod(F.xxhash64("chunk_id"), F.lit(RANGE)))
+    asked = hits.join(me, "chunk_id", "left").select(
+        F.struct(*hits.columns).alias("_hit"), F.col("_source").alias("source"), F.col("_index").alias("source_index"),
+        F.col("_section").alias("section"), own.alias("_range"), F.lit(None).cast("string").alias("content"), F.lit(False).alias("_text"))
+    placed = chunks.select("source", index.cast("long").alias("source_index"), "section", "content").filter("source IS NOT NULL AND source_index IS NOT NULL")
+    ranges = F.array_distinct(F.array(*[F.floor((index + i) / RANGE) for i in (-1, 0, 1)]))
+    texts = placed.withColumns({"_hit": F.lit(None).cast(asked.schema["_hit"].dataType), "_range": F.explode(ranges), "_text": F.lit(True)})
+    w = Window.partitionBy("source", "_range").orderBy("source_index").rangeBetween(-1, 1)
+    beside = F.collect_list(F.when(F.col("_text"), F.struct("source_index", "content", "section"))).over(w)
+    found = asked.unionByName(texts).withColumn("_n", beside).filter(~F.col("_text")).withColumn(
+        "_n", F.array_sort(F.filter("_n", lambda n: ~research | n["section"].eqNullSafe(F.col("section")))))
+    return found.select("_hit.*", F.when(F.size("_n") > 0, F.array_join(F.col("_n.content"), "\n\n")).alias("expanded"),
+                        F.when(F.size("_n") > 0, F.size("_n").cast("long")).alias("n_neighbours"))

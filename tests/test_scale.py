@@ -168,3 +168,18 @@ def test_chunks_are_cut_once(spark, data):
     for df in (base.chunks(spark, data), base.chunk_vectors(spark, data)):
         assert "documents.parquet" not in df._jdf.queryExecution().optimizedPlan().toString() and not [
             f for f in df.inputFiles() if "documents.parquet" in f]
+
+
+def test_many_hits_are_expanded_without_moving_texts_thrice(spark, monkeypatch):
+    from groundline.operators import hybrid
+
+    rows = spark.range(9000).select(
+        F.col("id").alias("chunk_id"), F.when(F.col("id") % 3 == 0, F.lit("research:a")).when(F.col("id") % 300 == 1, F.lit(None)).otherwise(F.lit("b")).alias("source"),
+        F.floor(F.col("id") / 3).alias("source_index"), F.when(F.col("id") % 7 > 0, F.floor(F.col("id") / 20).cast("string")).alias("section"), F.concat(F.lit("text "), "id").alias("content"))
+    hits = spark.range(0, 9500).select(F.col("id").alias("chunk_id"), (F.col("id") % 5).alias("query_id"))
+    want = hybrid.expand(hits, rows, 1)
+    monkeypatch.setattr(hybrid, "BROADCAST_LIMIT", 0)
+    got = hybrid.expand(hits, rows, 9500).select(want.columns)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and got.count() == want.count() == 9500
+    assert got.exceptAll(want).count() == 0
