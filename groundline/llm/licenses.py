@@ -53,6 +53,11 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\n]+", " ")
 
 
+def one_line(text: Column) -> Column:
+    """Lines of a normalised text joined; only runs of blanks are rewritten, not every single one."""
+    return F.regexp_replace(F.trim(F.replace(text, F.lit("\n"), F.lit(" "))), "  +", " ")
+
+
 def word_count(unit: Column) -> Column:
     return F.when(unit == "", 0).otherwise(F.length(unit) - F.length(F.replace(unit, F.lit(" "), F.lit(""))) + 1)
 
@@ -84,7 +89,7 @@ def windows(rows: DataFrame, source: DataFrame, threshold: float) -> DataFrame:
     n = pairs.count()
     if n and n <= BROADCAST_BIGRAMS:
         pairs = F.broadcast(pairs)
-    joined = F.regexp_replace(F.trim(F.replace("t", F.lit("\n"), F.lit(" "))), " +", " ")
+    joined = one_line(F.col("t"))
     key = ["row", "doc_id", "content", "license_id", "template", "b"]
     hits = rows.select("row", "doc_id", F.xxhash64("t").alias("content"), F.posexplode(all_bigrams(joined)).alias("at", "bigram")).join(pairs, "bigram")
     need = F.ceil(threshold * F.col("b") - 1e-9).cast("int")
@@ -151,7 +156,7 @@ def scan(docs: DataFrame, licenses: DataFrame | None = None, threshold: float =
 
     def units(kind: str, array: Column, at_least: int) -> Column:
         parts = F.transform(array, lambda x, i: F.struct(
-            F.lit(kind).alias("unit"), i.alias("number"), F.regexp_replace(F.trim(F.replace(x, F.lit("\n"), F.lit(" "))), " +", " ").alias("t")))
+            F.lit(kind).alias("unit"), i.alias("number"), one_line(x).alias("t")))
         a = lambda u: word_count(u["t"]) - 1
         fit = F.filter(parts, lambda u: (a(u) >= bound * (low or 0)) & (a(u) <= (high or 0) / bound) & (a(u) > 0))
         return F.when(F.size(array) >= at_least, fit).otherwise(F.slice(fit, 1, 0))

@@ -410,3 +410,13 @@ def test_leaks_of_an_item_without_id(spark):
     docs = plain(spark, [(1, f"before {passage} after"), (2, "nothing of the kind")])
     assert [(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(docs, items).collect()] == [(1, None)]
     assert [r["doc_id"] for r in decontam.keep_clean(docs, items).collect()] == [2]
+
+
+def test_one_line_rewrites_runs_of_blanks_only(spark):
+    from pyspark.sql import functions as F
+
+    from groundline.llm.licenses import normalised, one_line
+
+    texts = ["", "a", " a  b\n", "a \n \n b c\n\nd", "x, y;\n- z  (q)", "\n"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", one_line(normalised(F.col("text"))).alias("t"))
+    assert [r["t"] for r in rows.orderBy("i").collect()] == ["", "a", "a b", "a b c d", "x y z q", ""]
