@@ -183,3 +183,12 @@ def test_many_hits_are_expanded_without_moving_texts_thrice(spark, monkeypatch):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1 and got.count() == want.count() == 9500
     assert got.exceptAll(want).count() == 0
+
+
+def test_both_runs_of_an_ingest_job_clean_the_pages_once(spark, data, monkeypatch):
+    from groundline.catalogue import ingest as queries
+    from groundline.operators import ingest
+
+    calls, clean = [], ingest.clean_pages
+    monkeypatch.setattr(ingest, "clean_pages", lambda pages: calls.append(1) or clean(pages))
+    assert queries.ingest_job(spark, data).columns[0] == "run" and len(calls) == 1
