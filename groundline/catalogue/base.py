@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from groundline.functions import text as T
 from groundline.operators.chunking import window_chunks
+from groundline.operators.lexical import term_index
 from groundline.plans.retrieval import SearchTables, with_search_text
 from groundline.session import materialize, spread
 
@@ -70,9 +71,15 @@ def queries(spark: SparkSession, d: str) -> DataFrame:
         vec, F.col("query_id") * 20 == F.col("vec_id"), "left").drop("vec_id")
 
 
+def term_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Term lists of all chunks, written once."""
+    return stored(spark, d, "terms", lambda: materialize(term_index(with_search_text(chunks(spark, d))), "terms"))
+
+
 def search_tables(spark: SparkSession, d: str) -> SearchTables:
     def build() -> SearchTables:
-        return SearchTables.build(with_search_text(chunks(spark, d)), chunk_vectors(spark, d).select("chunk_id", "embedding"), written=True)
+        return SearchTables.build(with_search_text(chunks(spark, d)), chunk_vectors(spark, d).select("chunk_id", "embedding"), written=True,
+                                  index=term_lists(spark, d))
 
     return stored(spark, d, "search", build)
 

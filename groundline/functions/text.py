@@ -83,7 +83,8 @@ def tokens(c: Text) -> Column:
     cjk = F.regexp_replace(low, r"[^\x{4e00}-\x{9fff}]+", "")
     # the look-ahead captures overlapping pairs
     pairs = F.regexp_extract_all(cjk, F.lit("(?=(..))"), F.lit(1))
-    return F.concat(words, pairs)
+    # most texts hold no CJK character and need no second pass
+    return F.when(F.regexp_like(low, F.lit(CJK)), F.concat(words, pairs)).otherwise(words)
 
 
 def selector_tokens(c: Text) -> Column:

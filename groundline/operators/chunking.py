@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType
 
 from groundline import config as C
 from groundline.functions import text as T
 from groundline.operators.ordering import running_offset
-from groundline.session import BROADCAST_LIMIT, materialize
+from groundline.session import BROADCAST_LIMIT, materialize, ship_package
 
 
 #: Bytes of a (source, doc_id, offset) row in a broadcast, source names of up to some hundred characters included.
@@ -27,6 +29,30 @@ def windows(content: Column, size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OV
     ).otherwise(T.strings([]))
 
 
+def _collapsed(texts: pa.Array) -> list[str]:
+    """``text.collapse`` row by row: ``str.split`` parts at the characters of ``text.WS_CHARS``, no others."""
+    return [" ".join((t or "").split()) for t in texts.to_pylist()]
+
+
+def _lengths(texts: pa.Array) -> pa.Array:
+    return pa.array([len(t) for t in _collapsed(texts)], pa.int64())
+
+
+def collapsed_length(text: str) -> Column:
+    """Length of the normalized text, 0 when it is missing."""
+    return F.arrow_udf(_lengths, LongType())(text)
+
+
+def collapsed_windows(text: str, size: int, overlap: int) -> Column:
+    """``windows`` over the normalized text, given the text as it is."""
+    step = max(1, size - overlap)
+
+    def cut(texts: pa.Array) -> pa.Array:
+        return pa.array([[t[i:i + size] for i in range(0, len(t), step)] for t in _collapsed(texts)], pa.list_(pa.string()))
+
+    return F.arrow_udf(cut, ArrayType(StringType()))(text)
+
+
 def window_count(length: Column, size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP) -> Column:
     """Number of windows over normalized text of this length."""
     step = max(1, size - overlap)
@@ -44,8 +70,8 @@ def window_chunks(docs: DataFrame, size: int = C.CHUNK_SIZE, overlap: int = C.CH
     once, unsorted. Buckets are equal ranges of the ids there are, about
     ``bucket_docs`` documents each for dense and hashed ids.
     """
-    lengths = materialize(docs.select("source", "doc_id", T.collapse("text").alias("text")).select(
-        "source", "doc_id", F.length("text").alias("_length")), "lengths")
+    ship_package(docs.sparkSession)
+    lengths = materialize(docs.select("source", "doc_id", collapsed_length("text").alias("_length")), "lengths")
     low, high, n = lengths.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
     width = max(1.0, (high - low + 1) * bucket_docs / n) if n else 1.0
     bucket = F.floor((F.col("doc_id").cast("double") - float(low or 0)) / width)
@@ -53,10 +79,10 @@ def window_chunks(docs: DataFrame, size: int = C.CHUNK_SIZE, overlap: int = C.CH
     offsets = running_offset(narrow, ["source"], bucket, ["doc_id"], F.col("_n"), "_offset").select("source", "doc_id", "_offset")
     small = n * OFFSET_BYTES <= BROADCAST_LIMIT
     # the hash table of a partition holds offsets, so the texts need no sort
-    placed = docs.withColumn("text", T.collapse("text")).join(offsets.hint("broadcast" if small else "shuffle_hash"), ["source", "doc_id"])
+    placed = docs.join(offsets.hint("broadcast" if small else "shuffle_hash"), ["source", "doc_id"])
     keep = [c for c in docs.columns if c != "text"]
     return placed.select(
-        *keep, "_offset", F.posexplode(windows(F.col("text"), size, overlap)).alias("part", "content")
+        *keep, "_offset", F.posexplode(collapsed_windows("text", size, overlap)).alias("part", "content")
     ).withColumn("source_index", F.col("_offset") + F.col("part")).drop("_offset")
 
 

@@ -25,13 +25,13 @@ class SearchTables:
     stats: DataFrame
 
     @classmethod
-    def build(cls, chunks: DataFrame, vectors: DataFrame, *, written: bool = False) -> "SearchTables":
+    def build(cls, chunks: DataFrame, vectors: DataFrame, *, written: bool = False, index: DataFrame | None = None) -> "SearchTables":
         """Write every table once; later steps read their columns from files, and no search counts the corpus again.
 
-        ``written`` chunks are read from files already: only their term lists are added.
+        ``written`` chunks are read from files already: only their term lists are added, unless ``index`` has them.
         """
         texts = chunks if written else materialize(chunks, "chunks")
-        index = materialize(term_index(texts), "terms")
+        index = materialize(term_index(texts), "terms") if index is None else index
         return cls(texts, index, materialize(vectors, "vectors"),
                    materialize(document_frequency(index), "frequencies"), materialize(corpus_stats(index), "statistics"))
 

@@ -192,3 +192,23 @@ def test_both_runs_of_an_ingest_job_clean_the_pages_once(spark, data, monkeypatc
     calls, clean = [], ingest.clean_pages
     monkeypatch.setattr(ingest, "clean_pages", lambda pages: calls.append(1) or clean(pages))
     assert queries.ingest_job(spark, data).columns[0] == "run" and len(calls) == 1
+
+
+def test_texts_are_cut_and_counted_in_blocks(spark):
+    from groundline.functions import text as T
+    from groundline.operators.chunking import window_chunks, windows
+
+    odd = "".join(chr(c) for c in (0x1c, 0x85, 0xa0, 0x1680, 0x200b, 0x2003, 0x2028, 0xfeff))
+    texts = ["", None, " \n ", "a  b" + odd + "c ", "\u3000Ä é\U0001f600 x" * 30, "word\tword " * 40, "x", "中文 ab 中"]
+    docs = spark.createDataFrame([(i, "s" if i % 2 else "t", t) for i, t in enumerate(texts)], "doc_id long, source string, text string")
+    got = window_chunks(docs, size=20, overlap=5)
+    assert "regexp_replace" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = docs.withColumn("text", T.collapse("text")).select("doc_id", F.posexplode(windows(F.col("text"), 20, 5)).alias("part", "content"))
+    assert got.select("doc_id", "part", "content").exceptAll(want).count() == 0 and got.count() == want.count()
+    numbered = got.select((F.col("doc_id") * 1000 + F.col("part")).alias("chunk_id"), "content")
+    index = lexical.term_index(session.materialize(numbered, "numbered"), "content")
+    long = lexical.postings(index)
+    terms, chunks = lexical.term_totals(index), lexical.chunk_totals(index)
+    assert sorted(map(tuple, terms.collect())) == sorted(map(tuple, long.groupBy("term").agg(F.count("*"), F.sum("tf")).collect()))
+    assert sorted(map(tuple, chunks.collect())) == sorted(map(tuple, long.groupBy("chunk_id").agg(F.count("*"), F.sum("tf"), F.max("tf")).collect()))
+    assert "Aggregate" not in chunks._jdf.queryExecution().optimizedPlan().toString()
